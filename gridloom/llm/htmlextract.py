@@ -196,7 +196,7 @@ def measure(order: list[Node]) -> np.ndarray:
             ]
         )
         before += 0 if node.children else node.size
-    return np.array(rows, dtype=np.float32).reshape(len(rows), -1)
+    return np.array(rows, dtype=np.float32) if rows else np.zeros((0, 0), dtype=np.float32)
 
 
 class Boosted:

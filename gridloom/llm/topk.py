@@ -9,7 +9,7 @@ kth result (not at a tie, as a smaller id may still come). The blocks' results m
 Cases: null vectors and those with a null or non-finite component take no part, nor does a null id; vectors of different
 length don't meet; a row isn't its own result, but a row that repeats its id and vector is one row; fewer candidates
 than k give all; an empty table gives an empty result; other columns are ignored. A score beyond 64 bits is set to the
-nearest 64-bit value.
+nearest 64-bit value before scores are compared.
 """
 
 from __future__ import annotations
@@ -77,6 +77,8 @@ class Lists:
             seen |= mark
             if len(new):
                 s = self.vectors[new] @ q
+                if s.dtype == object:
+                    s = np.array([max(-_LIMIT, min(_LIMIT - 1, x)) for x in s], dtype=object)
                 scored_at.append(new)
                 scores.append(s)
                 count = np.array([len(self.ids[j]) for j in new]) if len(best) < k else None
@@ -113,7 +115,7 @@ def _meet(k: int):
             both = whole(np.concatenate([_matrix(queries, "v"), _matrix(rows, "v")]))
             lists = Lists(np.asarray(rows.column("vec_id")), both[queries.num_rows :], k)
             for me, q in zip(queries.column("vec_id").to_pylist(), both[: queries.num_rows], strict=True):
-                out += [(me, i, max(-_LIMIT, min(_LIMIT - 1, s))) for s, i in lists.top(me, q, k)[0]]
+                out += [(me, i, s) for s, i in lists.top(me, q, k)[0]]
         columns = list(zip(*out, strict=True)) or [(), (), ()]
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), columns, strict=True)})
 
