@@ -108,7 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "redistribution_volume": lambda s, d: metrics.redistribution_volume(supply_partition(s, d, K), supply_graph(s, d).select(F.col("src").alias("v")).distinct().select("v", (F.floor(F.col("v") / 3) % K).cast("int").alias("blk"))),
         "spmv": lambda s, d: metrics.spmv(supply_graph(s, d), supply_graph(s, d).select(F.col("src").alias("v")).distinct().withColumn("x", (F.col("v") % 7).cast("double"))),
         "bfs_levels": lambda s, d: graph.bfs(_grid(s)[1].filter("(src + dst) % 5 <> 0"), s.createDataFrame([(0,)], "v long")),
-        "shortest_paths": lambda s, d: graph.shortest_paths(_grid(s)[1].withColumn("w", ((F.col("src") * F.col("dst")) % 5 + 1).cast("double")), 0).select("v", "dist"),
+        "shortest_paths": lambda s, d: graph.shortest_paths(generate.grid(s, (10, 10))[1].withColumn("w", ((F.col("src") * F.col("dst")) % 5 + 1).cast("double")), 0).select("v", "dist"),
         "relabelled": lambda s, d: graph.relabelled(supply_graph(s, d).select(F.col("src").alias("v")).distinct(), supply_graph(s, d))[1].agg(F.count("*").alias("n"), F.sum(F.col("src") * 3 + F.col("dst")).alias("ids"), F.sum("w").alias("w")),
         "grid2d": lambda s, d: _grid(s)[0],
         "grid2d_edges": lambda s, d: _grid(s)[1],
@@ -252,6 +252,7 @@ UNION ALL SELECT 'maxBlockGraphDegree', CAST(max(d) AS DOUBLE) FROM bg UNION ALL
         "redistribution_volume": f"{_S}, m AS (SELECT blk AS a, v // 3 % 8 AS b FROM p WHERE blk <> v // 3 % 8) SELECT (SELECT max(n) FROM (SELECT count(*) AS n FROM m GROUP BY a UNION ALL SELECT count(*) FROM m GROUP BY b)) AS max, (SELECT count(*) FROM m) AS total",
         "spmv": f"{_S} SELECT src AS v, sum(w * (dst % 7)) + src % 7 AS y FROM e GROUP BY src",
         "bfs_levels": f"WITH RECURSIVE {_GRID}, f AS (SELECT * FROM e WHERE (src + dst) % 5 <> 0), r AS (SELECT CAST(0 AS BIGINT) AS v, 0 AS dist UNION SELECT f.dst, r.dist + 1 FROM r JOIN f ON f.src = r.v WHERE r.dist < 200) SELECT v, min(dist) AS dist FROM r GROUP BY v",
+        "shortest_paths": "WITH RECURSIVE g AS (SELECT i AS v, i // 10 AS r, i % 10 AS c FROM range(100) t(i)), e AS (SELECT a.v AS src, b.v AS dst, CAST(a.v * b.v % 5 + 1 AS DOUBLE) AS w FROM g a JOIN g b ON abs(a.r - b.r) + abs(a.c - b.c) = 1), p AS (SELECT CAST(0 AS BIGINT) AS v, CAST(0 AS DOUBLE) AS dist UNION SELECT e.dst, p.dist + e.w FROM p JOIN e ON e.src = p.v WHERE p.dist + e.w <= 60) SELECT v, min(dist) AS dist FROM p GROUP BY v",
         "grid2d": f"WITH {_GRID_V} SELECT v, CAST(r AS DOUBLE) AS x, CAST(c AS DOUBLE) AS y, CAST(1.0 AS DOUBLE) AS w0 FROM g",
         "grid2d_edges": f"WITH {_GRID} SELECT * FROM e",
         "grid3d": f"WITH {grid3} SELECT v, CAST(a * 2.0 AS DOUBLE) AS x, CAST(b AS DOUBLE) AS y, CAST(c * 2.0 AS DOUBLE) AS z, CAST(1.0 AS DOUBLE) AS w0 FROM g",

@@ -39,7 +39,7 @@ def _head(all_lines: DataFrame, comment: str = "%") -> tuple[int, str]:
 
 
 def _numbers(kind: str = "double") -> Column:
-    return F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.cast(kind))
+    return F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.try_cast(kind))
 
 
 def _axes(d: int) -> list[str]:
