@@ -191,16 +191,17 @@ def bfs(edges: DataFrame, sources: DataFrame, rounds: int | None = None, within:
     e = edges if within is None else with_blocks(edges, within).filter("bs = bd")
     e = settle(e.select("src", "dst").distinct())
     seen = settle(sources.select("v", F.lit(0).alias("dist")).distinct())
-    front, level = seen, 0
+    level = 0
     while rounds is None or level < rounds:
         level += 1
+        front = seen.filter(F.col("dist") == level - 1)
         new = front.join(e, front.v == e.src).select(F.col("dst").alias("v")).distinct().join(seen, "v", "left_anti").withColumn("dist", F.lit(level))
-        new = settle(new)
-        if new.isEmpty():
-            break
         grown = settle(seen.unionByName(new))
         forget(seen)
-        seen, front = grown, new
+        seen = grown
+        if seen.filter(F.col("dist") == level).isEmpty():
+            break
+    forget(e)
     return seen
 
 
@@ -210,18 +211,19 @@ def shortest_paths(edges: DataFrame, source: int, within: DataFrame | None = Non
     e = edges if within is None else with_blocks(edges, within).filter("bs = bd")
     e = settle(e.select("src", "dst", F.col("w").cast("double").alias("w")))
     spark = edges.sparkSession
-    best = settle(spark.createDataFrame([(source, 0.0, source)], "v long, dist double, pred long"))
-    front = best
-    for _ in range(most_rounds):
+    best = settle(spark.createDataFrame([(source, 0.0, source, 0)], "v long, dist double, pred long, at int"))
+    for r in range(1, most_rounds):
+        front = best.filter(F.col("at") == r - 1)
         step = front.join(e, front.v == e.src).select(F.col("dst").alias("v"), (F.col("dist") + F.col("w")).alias("dist"), F.col("src").alias("pred"))
-        step = step.groupBy("v").agg(F.min(F.struct("dist", "pred")).alias("s")).select("v", "s.dist", "s.pred")
-        old = best.select("v", F.col("dist").alias("old"))
-        better = settle(step.join(old, "v", "left").filter("old is null or dist < old").select("v", "dist", "pred"))
-        if better.isEmpty():
-            return best
-        fresh = settle(best.join(better.select("v"), "v", "left_anti").unionByName(better))
+        step = step.groupBy("v").agg(F.min(F.struct("dist", "pred")).alias("s"))
+        better = F.col("s").isNotNull() & (F.col("dist").isNull() | (F.col("s.dist") < F.col("dist")))
+        pick = lambda n: F.when(better, F.col(f"s.{n}")).otherwise(F.col(n)).alias(n)  # noqa: B023, E731
+        fresh = settle(best.join(step, "v", "full").select("v", pick("dist"), pick("pred"), F.when(better, F.lit(r)).otherwise(F.col("at")).alias("at")))
         forget(best)
-        best, front = fresh, better
+        best = fresh
+        if best.filter(F.col("at") == r).isEmpty():
+            forget(e)
+            return best.select("v", "dist", "pred")
     raise RuntimeError("shortest paths did not settle")
 
 
