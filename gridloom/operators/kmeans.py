@@ -2,7 +2,7 @@
 
 A point goes to the centre of least squared distance times influence. All state that grows with the points stays in
 Spark: a step is one scan in which every batch is reduced to k rows of partial sums in numpy, and one small aggregate.
-The driver holds centres, influences and block weights only. ``parent`` restricts a point to the centres of its block of
+The driver holds centres, influences, block weights and at most LOCAL_ROWS points. ``parent`` restricts a point to the centres of its block of
 the level above."""
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from gridloom.session import settle
 from gridloom.settings import Settings
 
 CELLS = 1 << 21
+#: Points that the driver may hold, as all there are or as a sample: some tens of bytes each.
+LOCAL_ROWS = 1 << 16
 
 
 @dataclass
@@ -65,42 +67,47 @@ def _columns(batch: pa.RecordBatch):
     return x, w, share, np.asarray(batch.column(3))
 
 
-def _sums(c: Clusters, sample: float):
+def _totals(x: np.ndarray, w: np.ndarray, share: np.ndarray, father: np.ndarray, c: Clusters) -> np.ndarray:
+    """k rows: count, then for each weight its sum and its weighted coordinate sums."""
+    k = len(c.centres)
+    blk = nearest(x, share, father if len(np.unique(c.parents)) > 1 else None, c)
+    parts = [np.bincount(blk, minlength=k)]
+    for i in range(w.shape[1]):
+        parts.append(np.bincount(blk, weights=w[:, i], minlength=k))
+        parts += [np.bincount(blk, weights=w[:, i] * x[:, j], minlength=k) for j in range(x.shape[1])]
+    return np.stack(parts, axis=1)
+
+
+def _sums(c: Clusters):
     def run(batches):
-        k = len(c.centres)
         total = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, w, share, father = _columns(batch)
-            if sample < 1:
-                v = np.asarray(batch.column(0)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                chosen = (v >> np.uint64(11)).astype(float) / float(1 << 53) < sample
-                x, w, share, father = x[chosen], w[chosen], share[chosen], father[chosen]
-            blk = nearest(x, share, father if len(np.unique(c.parents)) > 1 else None, c)
-            if total is None:
-                total = np.zeros((k, 1 + w.shape[1] * (1 + x.shape[1])))
-            parts = [np.bincount(blk, minlength=k)]
-            for i in range(w.shape[1]):
-                parts.append(np.bincount(blk, weights=w[:, i], minlength=k))
-                parts += [np.bincount(blk, weights=w[:, i] * x[:, j], minlength=k) for j in range(x.shape[1])]
-            total += np.stack(parts, axis=1)
+            if batch.num_rows:
+                part = _totals(*_columns(batch), c)
+                total = part if total is None else total + part
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(k, dtype=np.int32), total.shape[1])), pa.array(np.tile(np.arange(total.shape[1], dtype=np.int32), k)), pa.array(total.ravel())], names=["blk", "slot", "value"])
+            k, m = total.shape
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(k, dtype=np.int32), m)), pa.array(np.tile(np.arange(m, dtype=np.int32), k)), pa.array(total.ravel().astype(float))], names=["blk", "slot", "value"])
 
     return run
 
 
-def step(data: DataFrame, c: Clusters, sample: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """Block weights (weights x k), and centres as the mean over the weights of the weighted block means."""
-    rows = data.mapInArrow(_sums(c, sample), "blk int, slot int, value double").groupBy("blk", "slot").agg(F.sum("value").alias("value")).toArrow()
+def _means(t: np.ndarray, c: Clusters) -> tuple[np.ndarray, np.ndarray]:
+    """Block weights (weights x k), and centres as the mean over the weights of the weighted block means; an empty block
+    keeps its centre."""
     k, d, n_w = len(c.centres), c.centres.shape[1], len(c.influence)
-    t = np.zeros((k, 1 + n_w * (1 + d)))
-    t[np.asarray(rows.column("blk")), np.asarray(rows.column("slot"))] = np.asarray(rows.column("value"))
     t = t[:, 1:].reshape(k, n_w, 1 + d)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        means = np.nanmean(np.where(t[:, :, :1] > 0, t[:, :, 1:] / t[:, :, :1], np.nan), axis=1)
-    return t[:, :, 0].T, np.where(np.isnan(means), c.centres, means)
+    some = t[:, :, :1] > 0
+    means = np.where(some, t[:, :, 1:] / np.where(some, t[:, :, :1], 1), 0.0).sum(axis=1) / np.maximum(some.sum(axis=1), 1)
+    return t[:, :, 0].T, np.where(some.any(axis=1), means, c.centres)
+
+
+def step(data: DataFrame, c: Clusters) -> tuple[np.ndarray, np.ndarray]:
+    """One scan of the points: block weights and new centres under the clusters."""
+    rows = data.mapInArrow(_sums(c), "blk int, slot int, value double").groupBy("blk", "slot").agg(F.sum("value").alias("value")).toArrow()
+    t = np.zeros((len(c.centres), 1 + len(c.influence) * (1 + c.centres.shape[1])))
+    t[np.asarray(rows.column("blk")), np.asarray(rows.column("slot"))] = np.asarray(rows.column("value"))
+    return _means(t, c)
 
 
 def assign(data: DataFrame, c: Clusters) -> DataFrame:
@@ -115,18 +122,17 @@ def assign(data: DataFrame, c: Clusters) -> DataFrame:
     return data.mapInArrow(run, "v long, blk int")
 
 
-def fit(data: DataFrame, start: Clusters, targets: np.ndarray, settings: Settings, diagonal: float) -> Clusters:
-    """Alternate balancing of influences and recentring until the centres rest and every weight is balanced."""
+def _settle(take, start: Clusters, targets: np.ndarray, settings: Settings, diagonal: float) -> Clusters:
+    """Alternate balancing of influences and recentring until the centres rest and every weight is balanced; take(c) gives
+    block weights and means."""
     eps = np.array(settings.epsilons or [settings.epsilon] * len(targets))
     exponent, cap = settings.exponent(start.centres.shape[1]), settings.influence_change_cap
     now, best = start, None
-    n = data.count()
-    sample = min(1.0, settings.min_sampling_nodes * len(start.centres) / max(n, 1)) if settings.min_sampling_nodes > 0 else 1.0
     for r in range(1, settings.max_kmeans_iterations + 1):
         high, low, grew = np.full(len(now.centres), 1 + cap), np.full(len(now.centres), 1 - cap), None
         for b in range(max(1, settings.balance_iterations)):
-            got, means = step(data, now, sample)
-            ratio = got / (targets * sample)
+            got, means = take(now)
+            ratio = got / targets
             now.weights, now.imbalance = got, float((ratio - 1).max())
             balanced = bool(((ratio - 1).max(axis=1) <= eps).all())
             if balanced or b == settings.balance_iterations - 1:
@@ -140,13 +146,10 @@ def fit(data: DataFrame, start: Clusters, targets: np.ndarray, settings: Setting
             grew = ratio > 1
             now = Clusters(now.centres, now.influence * change, now.parents, got, now.imbalance, r)
         now.rounds = r
-        full = sample >= 1
-        if full and (best is None or now.imbalance < best.imbalance):
+        if best is None or now.imbalance < best.imbalance:
             best = now
         moved = float(np.sqrt(((means - now.centres) ** 2).sum(axis=1)).max())
-        if full and moved <= 0.002 * diagonal and balanced:
-            break
-        if r == settings.max_kmeans_iterations:
+        if (moved <= 0.002 * diagonal and balanced) or r == settings.max_kmeans_iterations:
             break
         influence = now.influence
         if settings.erode_influence:
@@ -155,8 +158,22 @@ def fit(data: DataFrame, start: Clusters, targets: np.ndarray, settings: Setting
             fade = 2 / (1 + np.exp(-np.sqrt(((means - now.centres) ** 2).sum(axis=1)) / max(extent, 1e-300))) - 1
             influence = np.exp((1 - fade) * np.log(influence))
         now = Clusters(means, influence, now.parents, None, float("inf"), r)
-        sample = min(1.0, sample * 2)
-    return best if best is not None and (settings.keep_most_balanced or now.weights is None) else now
+    return best if settings.keep_most_balanced else now
+
+
+def fit(data: DataFrame, start: Clusters, targets: np.ndarray, settings: Settings, diagonal: float) -> Clusters:
+    """Clusters of the points. Up to LOCAL_ROWS points settle on the driver. Beyond that, unless sampling is off, a sample
+    of that bound settles first, so that few scans of all points remain."""
+    n = data.count()
+    if n > LOCAL_ROWS and settings.min_sampling_nodes < 0:
+        return _settle(lambda c: step(data, c), start, targets, settings, diagonal)
+    few = data if n <= LOCAL_ROWS else data.filter(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int((1 << 30) * LOCAL_ROWS / n))
+    t = few.orderBy("v").toArrow().combine_chunks()
+    if t.num_rows:
+        held = _columns(t.to_batches()[0])
+        share = t.num_rows / n
+        start = _settle(lambda c: _means(_totals(*held, c), c), start, targets * share, settings, diagonal)
+    return start if n <= LOCAL_ROWS else _settle(lambda c: step(data, c), Clusters(start.centres, start.influence, start.parents), targets, settings, diagonal)
 
 
 def _diagonal(points: DataFrame, axes: Sequence[str]) -> float:

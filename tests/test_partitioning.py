@@ -182,6 +182,16 @@ def test_kmeans_is_balanced(spark, grid8):
     assert c3.imbalance <= 0.03 and value(metrics.redistribution_volume(p, again)) <= 16
 
 
+def test_kmeans_scans_beyond_the_local_bound(spark, grid8, monkeypatch):
+    v, _ = grid8
+    s = Settings(num_blocks=3, min_sampling_nodes=-1, max_kmeans_iterations=3)
+    here = rows(kmeans.kmeans_partition(v, ["x", "y"], 3, settings=s)[0])
+    monkeypatch.setattr(kmeans, "LOCAL_ROWS", 30)
+    assert rows(kmeans.kmeans_partition(v, ["x", "y"], 3, settings=s)[0]) == here
+    p, c = kmeans.kmeans_partition(v, ["x", "y"], 4, settings=Settings(num_blocks=4, epsilon=0.1, max_kmeans_iterations=8))
+    assert c.imbalance <= 0.1 and p.count() == 64
+
+
 def test_kmeans_is_free_of_spark_partitioning(spark, grid8):
     v, _ = grid8
     s = Settings(num_blocks=3, min_sampling_nodes=-1, max_kmeans_iterations=3)
