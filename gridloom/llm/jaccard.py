@@ -33,13 +33,16 @@ from gridloom.llm import _text as T
 from gridloom.llm._graph import components, forest
 from gridloom.llm._spark import dropped, only, runs, stored
 
-#: Frequent shingles kept for the global order: 8 bytes each, so 8 MB at most are broadcast.
-FREQUENT_MOST = 1 << 20
+#: Frequent shingles kept for the global order, by the upper half of their hashes: 4 bytes each, so 16 MB at most are
+#: broadcast. Any set gives a valid order; a shingle that shares its half with a frequent one only moves back too.
+FREQUENT_MOST = 1 << 22
+#: Candidate pairs that a task gathers before it thins them to a forest.
+GATHER = 1 << 16
 #: Ids of family members broadcast to prune texts before a shuffle; beyond that number the join shuffles.
 MEMBERS_MOST = 1 << 19
 LIGHT_MOST = 24
 BLOCK_ROWS = 512
-BLOCK_SHINGLES = 1 << 21
+BLOCK_SHINGLES = 1 << 19
 
 
 def least_overlap(size: int, num: int, den: int) -> int:
@@ -80,8 +83,9 @@ def light_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
 def heavy_keys(s: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
     p = prefix_length(len(s), num, den)
     if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-        often = frequent[at] == s
+        half = (s >> T.U64(32)).astype(np.uint32)
+        at = np.minimum(np.searchsorted(frequent, half), len(frequent) - 1)
+        often = frequent[at] == half
         if often.any():
             s = np.concatenate([s[~often], s[often]])
     return s[:p]
@@ -113,45 +117,61 @@ def _survey(k: int, num: int, den: int):
 
 
 def _index(k: int, num: int, den: int, boundary: int, frequent):
+    """Keys of each document, with the key before it in the document's own order (the first has itself)."""
+
     def run(batches):
         often = frequent.value
         for batch, words in _texts(batches):
             ids = np.asarray(batch.column(0))
-            keys, owner, size = [], [], []
+            keys, before, owner, size = [], [], [], []
             for i, s in enumerate(T.shingle_sets(words, k)):
                 n = len(s)
                 if not n:
                     continue
+                own = []
                 if n <= boundary:
-                    keys.append(light_keys(s, num, den))
-                    owner.append(np.full(len(keys[-1]), ids[i]))
-                    size.append(np.full(len(keys[-1]), n))
+                    own.append(light_keys(s, num, den))
                 if n > boundary or n * den // num > boundary:
-                    keys.append(heavy_keys(s, often, num, den))
-                    owner.append(np.full(len(keys[-1]), ids[i]))
-                    size.append(np.full(len(keys[-1]), n))
+                    own.append(heavy_keys(s, often, num, den))
+                for x in own:
+                    keys.append(x)
+                    before.append(np.concatenate([x[:1], x[:-1]]))
+                    owner.append(np.full(len(x), ids[i]))
+                    size.append(np.full(len(x), n))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(T.signed(np.concatenate(keys))), pa.array(np.concatenate(owner).astype(np.int64)), pa.array(np.concatenate(size).astype(np.int32))], names=["key", "doc_id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(T.signed(np.concatenate(keys))), pa.array(np.concatenate(owner).astype(np.int64)), pa.array(np.concatenate(size).astype(np.int32)), pa.array(T.signed(np.concatenate(before)))], names=["key", "doc_id", "n", "before"])
 
     return run
 
 
 def _chains(num: int, den: int):
-    """Neighbours of like size in each list, which is sorted by size: (a, b) of classes."""
+    """Neighbours of like size in each list, which is sorted by size: (a, b) of classes. Two neighbours that have the same
+    key before this one stand in that key's list too, with all between them of like size; the lists follow one order, so
+    the earlier list already links them and the pair is left out."""
+
+    def thinned(pairs):
+        a, b = forest(*(np.concatenate(x) for x in zip(*pairs, strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def run(batches):
-        last = None
+        last, pairs, held = None, [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, doc, n = (np.asarray(batch.column(i)) for i in range(3))
+            key, doc, n, before = (np.asarray(batch.column(i)) for i in range(4))
             if last is not None:
-                key, doc, n = (np.concatenate([[x], y]) for x, y in zip(last, (key, doc, n), strict=True))
-            last = key[-1], doc[-1], n[-1]
-            near = (key[1:] == key[:-1]) & (n[1:].astype(np.int64) * num <= n[:-1].astype(np.int64) * den) & (doc[1:] != doc[:-1])
+                key, doc, n, before = (np.concatenate([[x], y]) for x, y in zip(last, (key, doc, n, before), strict=True))
+            last = key[-1], doc[-1], n[-1], before[-1]
+            told = (before[1:] == before[:-1]) & (before[1:] != key[1:])
+            near = (key[1:] == key[:-1]) & ~told & (n[1:].astype(np.int64) * num <= n[:-1].astype(np.int64) * den) & (doc[1:] != doc[:-1])
             if near.any():
-                a, b = forest(doc[:-1][near], doc[1:][near])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                pairs.append((doc[:-1][near], doc[1:][near]))
+                held += len(pairs[-1][0])
+            if held > GATHER:
+                yield thinned(pairs)
+                pairs, held = [], 0
+        if pairs:
+            yield thinned(pairs)
 
     return run
 
@@ -248,13 +268,13 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     row = often.agg(F.count("*"), F.avg("count"), *[F.count(F.when(F.col("count") >= s, 1)) for s in steps]).first()
     threshold = next(s for s, c in zip([frequent_from, *steps], [row[0], *row[2:]], strict=True) if c <= FREQUENT_MOST)
     values = often.filter(F.col("count") >= threshold).select("key").toArrow().column(0).combine_chunks()
-    frequent = spark.sparkContext.broadcast(np.sort(np.asarray(values).astype(np.int64).view(T.U64)))
+    frequent = spark.sparkContext.broadcast(np.unique((np.asarray(values).astype(np.int64).view(T.U64) >> T.U64(32)).astype(np.uint32)))
     dropped(often)
     classes = stored(survey.filter("n > 0").groupBy("h", "n").agg(F.min("doc_id").alias("class")).filter("class is not null"), "classes")
     sizes = {r[0]: r[1] for r in classes.filter(F.col("n") <= LIGHT_MOST).groupBy("n").count().collect()}
     boundary = choose_boundary(sizes, float(row[1] or 1.0), num, den)
 
-    index = base.mapInArrow(_index(k, num, den, boundary, frequent), "key long, doc_id long, n int")
+    index = base.filter("doc_id is not null").mapInArrow(_index(k, num, den, boundary, frequent), "key long, doc_id long, n int, before long")
     near = index.repartition("key").sortWithinPartitions("key", "n", "doc_id").mapInArrow(_chains(num, den), "a long, b long")
     family = stored(components(near), "family")
     sized = classes.select(F.col("class").alias("doc_id"), "n")
