@@ -6,12 +6,15 @@ numpy, without a Python object per word. Hashes are 64 bits wide: a byte-table p
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -75,14 +78,25 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw, bounds
 
 
+_libc = ctypes.CDLL(ctypes.util.find_library("c")) if ctypes.util.find_library("c") else None
+
+
+def release() -> None:
+    """Give free memory back to the system: workers live on, and what one batch needed would count for good."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None and hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def pieces(bounds: np.ndarray, target: int = CHUNK_BYTES):
-    """Row ranges (lo, hi) of about target bytes each; a longer row stands alone."""
+    """Row ranges (lo, hi) of about target bytes each; a longer row stands alone. Memory is released at the end."""
     n, lo = len(bounds) - 1, 0
     while lo < n:
         hi = int(np.searchsorted(bounds, bounds[lo] + target, side="right")) - 1
         hi = min(max(hi, lo + 1), n)
         yield lo, hi
         lo = hi
+    release()
 
 
 class Words:

@@ -2,7 +2,7 @@
 
 Eight heuristic labellers vote good, bad or nothing on every whole text. Expectation-maximisation over the counts of
 vote patterns (at most 3**8, whatever the input) estimates each labeller's accuracies and the share of good texts. The
-posteriors of a bounded sample of texts (``sample``, default 4000, those of least hash) train a linear scorer on hashed
+posteriors of a bounded sample of texts (``sample``, default 2500, those of least hash) train a linear scorer on hashed
 shape n-grams and text statistics; it scores every text, and a text is accepted from ``threshold`` on.
 
 Cases: null and empty text is rejected with score 0; repeated rows are judged alike; with no rows to learn from nothing
@@ -173,17 +173,18 @@ def _sampled(batches):
 def fit_linear(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.3, l2: float = 1e-4) -> np.ndarray:
     """Weights of logistic regression on soft labels, both classes of equal total weight, by AdaGrad on full batches."""
     w, seen = np.zeros(x.shape[1]), np.full(x.shape[1], 1e-8)
+    y = y.astype(float)
     weigh = y / max(y.sum(), 1e-9) + (1 - y) / max((1 - y).sum(), 1e-9)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-        g = x.T @ (weigh * (p - y)) + l2 * w
+        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(x.dtype), -50, 50)))
+        g = (weigh * (p - y)).astype(x.dtype) @ x + l2 * w
         seen += g * g
         w -= rate * g / np.sqrt(seen)
     return w
 
 
-def _score(held, at: int, names: list[str], threshold: float | None):
-    """Adds score to the rows, or with a threshold keeps the rows that reach it."""
+def _score(held, at: int, threshold: float | None):
+    """doc_id and score of the rows, or with a threshold the rows that reach it."""
 
     def run(batches):
         w = held.value
@@ -196,14 +197,14 @@ def _score(held, at: int, names: list[str], threshold: float | None):
                 p[np.diff(bounds[lo : hi + 1]) == 0] = 0.0
                 part = batch.slice(lo, hi - lo)
                 if threshold is None:
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p)], names=[*names, "score"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p)], names=["doc_id", "score"])
                 else:
                     yield part.filter(pa.array(p >= threshold))
 
     return run
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = 4000) -> np.ndarray | None:
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = 2500) -> np.ndarray | None:
     """Weights of the scorer, learned from docs without labels."""
     base = only(docs, doc_id=f"{key}:bigint", text=f"{text}:string").filter("length(text) > 0")
     voted = stored(base.mapInArrow(_vote, "doc_id long, pattern long"), "votes")
@@ -219,23 +220,23 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int
     if not rows.num_rows:
         return None
     rows = rows.sort_by([("doc_id", "ascending"), ("pattern", "ascending")])
-    x = np.stack([np.frombuffer(b.as_py(), dtype=np.float32) for b in rows.column("x")]).astype(float)
+    x = np.stack([np.frombuffer(b.as_py(), dtype=np.float32) for b in rows.column("x")])
     y = good[np.searchsorted(codes, np.asarray(rows.column("pattern")))]
     return fit_linear(x, y)
 
 
-def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = 4000, threshold: float = 0.5) -> DataFrame:
+def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = 2500, threshold: float = 0.5) -> DataFrame:
     """doc_id, score, accepted of each row."""
     w = docs.sparkSession.sparkContext.broadcast(train(docs, key, text, sample))
     base = only(docs, doc_id=f"{key}:bigint", text=f"{text}:string")
-    return base.mapInArrow(_score(w, 1, ["doc_id", "text"], None), "doc_id long, text string, score double").select("doc_id", "score", (F.col("score") >= threshold).alias("accepted"))
+    return base.mapInArrow(_score(w, 1, None), "doc_id long, score double").select("doc_id", "score", (F.col("score") >= threshold).alias("accepted"))
 
 
-def accepted_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = 4000, threshold: float = 0.5) -> DataFrame:
+def accepted_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = 2500, threshold: float = 0.5) -> DataFrame:
     """docs, same columns, without the rows that the scorer rejects."""
     w = docs.sparkSession.sparkContext.broadcast(train(docs, key, text, sample))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_score(w, docs.columns.index(text), docs.columns, threshold), schema)
+    return docs.mapInArrow(_score(w, docs.columns.index(text), threshold), schema)
 
 
 def op7(docs: DataFrame) -> DataFrame:
