@@ -136,6 +136,8 @@ def test_repeated_passages_of_small_chunks(spark, corpus, monkeypatch):
     whole = {tuple(map(str, r)) for r in suffix.repeated_passages(frame(spark, corpus)).select("doc_id", "n_repeated", "spans").collect()}
     split = {tuple(map(str, r)) for r in suffix.repeated_passages(frame(spark, corpus).repartition(7)).select("doc_id", "n_repeated", "spans").collect()}
     assert whole == split
+    monkeypatch.setattr(suffix, "SPOTS_MOST", 0)
+    assert whole == {tuple(map(str, r)) for r in suffix.repeated_passages(frame(spark, corpus)).select("doc_id", "n_repeated", "spans").collect()}
     assert suffix.repeated_passages(frame(spark, []).limit(0)).count() == 0
 
 
