@@ -8,13 +8,14 @@ minimiser positions are kept: where the hash of ``k`` words is least among ``rea
 1. the suffixes, by the hash of that many words; those without a like neighbour in another document are gone;
 2. each match, extended as far left and right as a window around it can reach, by the hash of the whole range: equal
    ranges settle all their windows at once;
-3. what is left (ends of passages, short ones, places of edits): the single windows around the match. For each kind of
-   settled range with the same suffix one document joins in, as what is left may be like a part of it.
+3. what is left (ends of passages, short ones, places of edits): the single windows around the match. Where a suffix has
+   more than one range, two documents of each settled range join in, as others may be like a part of it: the smallest at
+   all its places, and the largest at one, since the smallest may be the only other one that has such a part.
 
-A round first sorts what a task holds; rows that have a like neighbour there are settled, and one of them alone goes
-into the shuffle for its key, so a passage in a third of all documents sends a row a task. ``later_spans`` are windows
-that a document of smaller id was seen to have in the same range; the smallest document with a window never counts it
-as later, so removing later spans loses no passage.
+A round first sorts what a task holds; rows that have a like neighbour there are settled, and those of the smallest
+document alone go into the shuffle for their key, so a passage in a third of all documents sends few rows a task.
+``later_spans`` are all windows that a document of smaller id has too; the smallest document with a window never counts
+it as later, so removing later spans loses no passage.
 
 Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, hashed to 64 bits.
 
@@ -168,7 +169,7 @@ def _plain(batches):
 
 def _sorted_here(make):
     """The rows of make() with a state: 0 no like neighbour in another document here, 1 settled here, 2 settled here and
-    the one row that tells the others."""
+    of the smallest document, whose rows tell the others and may be later than those of another task."""
 
     def flush(held):
         t = pa.Table.from_batches(held).combine_chunks()
@@ -180,7 +181,7 @@ def _sorted_here(make):
         start = np.flatnonzero(new)
         last = np.concatenate([start[1:], [len(key)]]) - 1
         across = (doc[start] != doc[last])[group]
-        state = np.where(across, np.where(new, 2, 1), 0).astype(np.int8)
+        state = np.where(across, np.where(doc == doc[start][group], 2, 1), 0).astype(np.int8)
         t = t.take(pa.array(order)).append_column("state", pa.array(state)).append_column("later", pa.array(across & (doc > doc[start][group])))
         yield from t.to_batches(max_chunksize=20_000)
 
@@ -224,7 +225,7 @@ def _neighbours(batches):
             told[0] = told[0] or known
         matched = (told | ~same)[group]
         later = doc > lead[group]
-        if new[0] or matched[0]:
+        if new[0] or matched[0] or len(start) > 1:
             for h in held:
                 m = np.full(h.num_rows, not new[0] and bool(matched[0]))
                 yield out(h, m | (np.asarray(h.column(h.schema.get_field_index("state"))) == 2), np.zeros(h.num_rows, bool))
@@ -276,10 +277,13 @@ def repeated_passages(docs: DataFrame, least: int = 50, k: int = 4, reach: int =
     two = stored(_matched(one, _plain, "ranges"), "extended")
     dropped(one)
     # A range that settled both in its task and after the shuffle has two rows; one that is matched anywhere is.
-    anchors = two.groupBy("doc_id", "pos", "wide", "key").agg(F.max("matched").alias("m"))
-    left = anchors.filter("not m").select("doc_id", "pos", "wide")
-    beside = anchors.filter("m").join(left.select("wide").distinct(), "wide", "left_semi").groupBy("wide", "key").agg(F.min(F.struct("doc_id", "pos")).alias("s")).select("s.doc_id", "s.pos", "wide")
-    spots = stored(left.unionByName(beside).select("doc_id", "pos").distinct(), "spots")
+    places = two.groupBy("wide", "key", "doc_id").agg(F.max("matched").alias("m"), F.collect_set("pos").alias("at"))
+    left = places.filter("not m").select("doc_id", F.explode("at").alias("pos"))
+    ranges = places.groupBy("wide", "key").agg(F.max("m").alias("m"), F.min(F.struct("doc_id", "at")).alias("least"), F.max(F.struct("doc_id", F.array_min("at").alias("pos"))).alias("most"))
+    several = ranges.groupBy("wide").agg(F.count("*").alias("n")).filter("n > 1")
+    beside = ranges.filter("m").join(several, "wide", "left_semi")
+    beside = beside.select("least.doc_id", F.explode("least.at").alias("pos")).unionByName(beside.select("most.doc_id", "most.pos"))
+    spots = stored(left.unionByName(beside).distinct(), "spots")
     if spots.count() <= SPOTS_MOST:
         three = _matched(base, _windows(least, k, reach, docs.sparkSession.sparkContext.broadcast(_filter(spots))), "windows")
     else:

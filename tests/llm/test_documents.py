@@ -141,6 +141,58 @@ def test_repeated_passages_of_small_chunks(spark, corpus, monkeypatch):
     assert suffix.repeated_passages(frame(spark, []).limit(0)).count() == 0
 
 
+def passages_by_force(texts, least=50):
+    """{id: (repeated words, later words)} by all windows of all texts."""
+    words = {i: t.split() for i, t in texts}
+    holders = defaultdict(set)
+    for i, w in words.items():
+        for j in range(len(w) - least + 1):
+            holders[tuple(w[j : j + least])].add(i)
+    out = {}
+    for i, w in words.items():
+        hit, late = set(), set()
+        for j in range(len(w) - least + 1):
+            own = holders[tuple(w[j : j + least])]
+            hit |= set(range(j, j + least)) if len(own) > 1 else set()
+            late |= set(range(j, j + least)) if min(own) < i else set()
+        if hit:
+            out[i] = (hit, late)
+    return out
+
+
+def marked(text, spans):
+    at = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    return {j for j, (a, b) in enumerate(at) if any(s["start"] <= a and b <= s["stop"] for s in spans)}
+
+
+def test_repeated_passages_of_settled_ranges(spark):
+    rnd = random.Random(11)
+    p, q, x, y, z, u = (prose(rnd, n) for n in (60, 60, 80, 80, 60, 70))
+    # A document's second P is like a part of the range that its first P shares with another one, for either order of ids.
+    twice = [(1, f"{x} {p} {y} {z} {p}"), (2, f"{x} {p} {y}"), (3, f"{u} {q} {x[::-1]}"), (4, f"{u} {q} {x[::-1]} {z[::-1]} {q}")]
+    # Families of exact copies that share nothing but P, in the larger ones twice in the same surroundings.
+    r, a, b, c = (prose(rnd, n) for n in (60, 90, 90, 90))
+    copies = [(i, t) for i, t in zip(range(11, 18), [f"{a} {r} {b}"] * 2 + [f"{c} {r} {a[::-1]} {c} {r} {a[::-1]}"] * 3 + [f"{b[::-1]} {r} {c[::-1]}"] * 2, strict=True)]
+    texts = [*twice, *copies]
+    want = passages_by_force(texts)
+    for slices in (1, 7):
+        got = {d["doc_id"]: d for d in suffix.repeated_passages(frame(spark, texts).repartition(slices)).collect()}
+        assert set(got) == set(want)
+        for i, t in texts:
+            assert (marked(t, got[i]["spans"]), marked(t, got[i]["later_spans"])) == want[i], (i, slices)
+            assert (got[i]["n_repeated"], got[i]["n_later"]) == tuple(map(len, want[i]))
+
+
+def test_later_spans_are_those_of_brute_force(spark, corpus):
+    texts = [(i, t.translate(AZ)) for i, t in corpus if t]
+    want = passages_by_force(texts)
+    got = {d["doc_id"]: d for d in suffix.repeated_passages(frame(spark, texts)).collect()}
+    assert set(got) == set(want)
+    for i, t in texts:
+        if i in want:
+            assert (marked(t, got[i]["spans"]), marked(t, got[i]["later_spans"])) == want[i], i
+
+
 def test_neighbours_over_batches():
     import pyarrow as pa
 
@@ -157,6 +209,16 @@ def test_neighbours_over_batches():
         assert sorted(out) == want, step
 
 
+def test_neighbours_that_wait_for_an_unmatched_run():
+    import pyarrow as pa
+
+    names = ["key", "doc_id", "a", "b", "ca", "cb", "pos", "wide", "state"]
+    one = lambda *rows: pa.RecordBatch.from_pylist([dict.fromkeys(names, 0) | {"key": k, "doc_id": d} for k, d in rows])
+    # The first run ends in the second batch without a match, the next one is matched in the third.
+    out = [x for b in suffix._neighbours(iter([one((1, 1)), one((1, 1), (2, 1)), one((2, 2))])) for x in zip(b.column(0).to_pylist(), b.column(8).to_pylist(), strict=True)]
+    assert sorted(out) == [(1, False), (1, False), (2, True), (2, True)]
+
+
 def hits_by_force(texts, items, n=8):
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     words = lambda t: pattern.findall((t or "").translate(AZ))
