@@ -114,6 +114,16 @@ def test_templates_generalise_merge_and_reject(spark):
     assert urlfilter.judge(pages(spark, rows + rows[:3]), rules=rules).count() == len(rows) + 3
 
 
+def test_purity_reaches_unruled_pages_among_rare_siblings(spark):
+    rules = (("shop.io", "/s/pill", "block"),)
+    names = [f"{a}{b}{c}" for a in "abcde" for b in "fghij" for c in "klm"]
+    urls = [f"http://shop.io/s/pill{x}/view" for x in names] + [f"http://shop.io/s/cure{x}/view" for x in names[:5]] + [f"http://shop.io/item/{x}/view" for x in names]
+    got = {urls[r["page_id"]]: r for r in urlfilter.judge(pages(spark, [(i, u, "") for i, u in enumerate(urls)]), rules=rules).collect()}
+    assert got["http://shop.io/s/cureafk/view"]["rule"] is None
+    for u in urls:
+        assert got[u]["verdict"] == ("allow" if "/item/" in u else "block"), u
+
+
 PAGE = """<!DOCTYPE html><html lang="en"><head><title>T</title><style>p{{}}</style><script>var t="</p><p>no</p>";</script></head>
 <body><header><h1>Site name</h1><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav></header>
 <div class="cookie-notice"><p>We use cookies to make this work for you.</p><button>OK</button></div>
