@@ -2,7 +2,8 @@
 
 Matching is a handshake: each vertex points at its best neighbour of its own block, mutual pairs merge. Contraction is
 two joins and a grouped sum. Refinement goes through the colours of the block graph; in one colour every block meets at
-most one other, and each pair's border region is one group, of bounded size, that a Python kernel refines."""
+most one other, and each pair's border region is one group that a Python kernel refines; a region beyond the bound of a
+task is dealt into several groups, which take turns."""
 
 from __future__ import annotations
 
@@ -14,9 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators import graph
-from gridloom.session import settle
+from gridloom.session import forget, settle
 from gridloom.settings import Settings
 
+#: Vertices of a region that one task refines at once.
 REGION_MOST = 50_000
 
 
@@ -204,8 +206,8 @@ def _refine_pair(settings: Settings):
 
 def refine(vertices: DataFrame, edges: DataFrame, partition: DataFrame, k: int, most: np.ndarray, settings: Settings | None = None, points: DataFrame | None = None, axes=()) -> tuple[DataFrame, float]:
     """One round over all colours: (v, blk) and the total gain. vertices(v, w0); most[b] is block b's capacity. A pair's
-    region is its border and some hops around it, at most REGION_MOST vertices by hop and id, so a task stays bounded;
-    vertices beyond it are fixed and their edges still count."""
+    region is its border and some hops around it. A region of more than REGION_MOST vertices is dealt by hash into groups
+    of fewer, so a task stays bounded; they are refined in turn, the others fixed where the turns before have put them."""
     settings = settings or Settings(num_blocks=k)
     spark = vertices.sparkSession
     w = vertices.select("v", F.col("w0").cast("double").alias("w0"))
@@ -213,28 +215,39 @@ def refine(vertices: DataFrame, edges: DataFrame, partition: DataFrame, k: int,
     colours: dict[int, list[tuple[int, int]]] = {}
     for c, a, b in graph.communication_pairs(edges, now):
         colours.setdefault(c, []).append((a, b))
-    for c in sorted(colours):
+
+    def sides(pairs: list[tuple[int, int]]) -> tuple[DataFrame, DataFrame]:
+        """The blocks of a colour with their loads, and the edges inside their pairs, as of now."""
         load = {r["blk"]: r["weight"] for r in graph.block_weights(now, k, w).collect()}
-        rows = [(x, a, b, load[a], load[b], float(most[a]), float(most[b])) for a, b in colours[c] for x in (a, b)]
+        rows = [(x, a, b, load[a], load[b], float(most[a]), float(most[b])) for a, b in pairs for x in (a, b)]
         pair = F.broadcast(spark.createDataFrame(rows, "bs int, a int, b int, size_a double, size_b double, most_a double, most_b double"))
-        e = settle(graph.with_blocks(edges, now).join(pair, "bs").filter("bd = a or bd = b"))
+        return pair, settle(graph.with_blocks(edges, now).join(pair, "bs").filter("bd = a or bd = b"))
+
+    for c in sorted(colours):
+        pair, e = sides(colours[c])
         region = settle(e.filter("bs <> bd").select(F.col("src").alias("v"), "a").distinct().withColumn("hop", F.lit(0)))
         for hop in range(1, max(1, settings.min_border_nodes) + 1):
             ring = e.filter("bs = bd").join(region.select(F.col("v").alias("src")), "src", "left_semi").select(F.col("dst").alias("v"), "a").distinct().join(region.select("v"), "v", "left_anti")
             region = settle(region.unionByName(ring.withColumn("hop", F.lit(hop))))
-        from pyspark.sql import Window
-
-        region = region.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("hop", "v"))).filter(F.col("r") <= REGION_MOST).select("v", "a")
-        tie = F.xxhash64("v", F.lit(settings.seed)).cast("double")
-        nodes = region.join(now, "v").join(w, "v")
-        if settings.use_geometric_tie_break and points is not None:
-            nodes = nodes.join(centre_distances(points, now, axes), "v")
-            tie = -F.col("dist")
-        nodes = nodes.join(pair.drop("a").withColumnRenamed("b", "pb"), nodes.blk == F.col("bs")).select(F.col("v").alias("src"), F.lit(None).cast("long").alias("dst"), F.col("w0").alias("w"), "bs", F.lit(None).cast("int").alias("bd"), "a", F.col("pb").alias("b"), "size_a", "size_b", "most_a", "most_b", tie.alias("tie"))
-        inner = e.join(region.select(F.col("v").alias("src")), "src", "left_semi").select("src", "dst", F.col("w").cast("double").alias("w"), "bs", "bd", "a", "b", "size_a", "size_b", "most_a", "most_b", F.lit(0.0).alias("tie"))
-        out = settle(nodes.unionByName(inner).groupBy("a").applyInPandas(_refine_pair(settings), "v long, blk int, gain double").join(region.select(F.col("v"), "a"), "v"))
-        gained += sum(r[1] for r in out.groupBy("a").agg(F.max("gain")).collect())
-        now = settle(now.join(out.select("v", F.col("blk").alias("to")), "v", "left").select("v", F.coalesce("to", "blk").alias("blk")))
+        n = region.groupBy("a").agg(F.count("*").alias("n"))
+        # Groups by hash are not all of one size, so they aim at nine tenths of the bound.
+        groups = F.when(F.col("n") <= REGION_MOST, F.lit(1)).otherwise(F.ceil(F.col("n") * 10 / (REGION_MOST * 9)))
+        region = settle(region.join(F.broadcast(n), "a").select("v", "a", F.pmod(F.xxhash64("v", F.lit(settings.seed)), groups).cast("int").alias("turn")))
+        for turn in range(1 + (region.agg(F.max("turn")).first()[0] or 0)):
+            if turn:
+                forget(e)
+                pair, e = sides(colours[c])
+            group = region.filter(F.col("turn") == turn).select("v", "a")
+            tie = F.xxhash64("v", F.lit(settings.seed)).cast("double")
+            nodes = group.join(now, "v").join(w, "v")
+            if settings.use_geometric_tie_break and points is not None:
+                nodes = nodes.join(centre_distances(points, now, axes), "v")
+                tie = -F.col("dist")
+            nodes = nodes.join(pair.drop("a").withColumnRenamed("b", "pb"), nodes.blk == F.col("bs")).select(F.col("v").alias("src"), F.lit(None).cast("long").alias("dst"), F.col("w0").alias("w"), "bs", F.lit(None).cast("int").alias("bd"), "a", F.col("pb").alias("b"), "size_a", "size_b", "most_a", "most_b", tie.alias("tie"))
+            inner = e.join(group.select(F.col("v").alias("src")), "src", "left_semi").select("src", "dst", F.col("w").cast("double").alias("w"), "bs", "bd", "a", "b", "size_a", "size_b", "most_a", "most_b", F.lit(0.0).alias("tie"))
+            out = settle(nodes.unionByName(inner).groupBy("a").applyInPandas(_refine_pair(settings), "v long, blk int, gain double").join(group.select(F.col("v"), "a"), "v"))
+            gained += sum(r[1] for r in out.groupBy("a").agg(F.max("gain")).collect())
+            now = settle(now.join(out.select("v", F.col("blk").alias("to")), "v", "left").select("v", F.coalesce("to", "blk").alias("blk")))
     return now, gained
 
 

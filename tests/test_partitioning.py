@@ -337,6 +337,17 @@ def test_refinement_lowers_the_cut(spark, grid8):
     assert max(r["count"] for r in out.groupBy("blk").count().collect()) <= 34
 
 
+def test_refinement_gives_every_border_vertex_a_turn(spark, grid8, monkeypatch):
+    v, e = grid8
+    # Halves with one vertex of high id on the wrong side, far from the border between them.
+    p = v.select("v", F.when(F.col("v") == 63, 0).otherwise(F.floor(F.col("v") / 32)).cast("int").alias("blk")).cache()
+    assert value(graph.edge_cut(e, p)) == 10
+    monkeypatch.setattr(multilevel, "REGION_MOST", 8)
+    out, gain = multilevel.refine(v, e, p, 2, np.full(2, 34.0), Settings(num_blocks=2))
+    assert gain == 2 and value(graph.edge_cut(e, out)) == 8
+    assert {r["v"]: r["blk"] for r in out.collect()}[63] == 1 and max(r["count"] for r in out.groupBy("blk").count().collect()) <= 34
+
+
 def test_flows(spark, grid8):
     v, e = grid8
     x = {r["v"]: r["x"] for r in diffusion.potentials(v, e, 0).collect()}
