@@ -227,10 +227,47 @@ def shortest_paths(edges: DataFrame, source: int, within: DataFrame | None = Non
     raise RuntimeError("shortest paths did not settle")
 
 
+def _fringe(depth: int, at, depth_of, most_rounds: int) -> tuple[int, bool]:
+    """(diameter, exact) from a search of some depth: at(level) gives vertices of a level, depth_of(x) the depth of a
+    search from x. After most_rounds searches the diameter is a lower bound."""
+    low, high, rounds, level = depth, 2 * depth, 0, depth
+    while low < high and rounds < most_rounds:
+        for x in at(level):
+            low, rounds = max(low, depth_of(x)), rounds + 1
+            if rounds >= most_rounds:
+                break
+        else:
+            high = max(low, 2 * (level - 1))
+            level -= 1
+            continue
+        break
+    return low, low >= high
+
+
+def _wide_diameter(inner: DataFrame, vertices: DataFrame, size: int, most_rounds: int) -> tuple[int | None, bool]:
+    """(diameter, exact) of one block by bfs(), from its inner edges(src, dst) and vertices(v)."""
+    first = degrees(inner).orderBy(F.desc("degree"), "v").first() or vertices.orderBy("v").first()
+    search = lambda x: bfs(inner, inner.sparkSession.createDataFrame([(x,)], "v long"))
+
+    def depth_of(x: int) -> int:
+        d = search(x)
+        out = d.agg(F.max("dist")).first()[0]
+        forget(d)
+        return out
+
+    d = search(first["v"])
+    depth, reached = d.agg(F.max("dist"), F.count("*")).first()
+    if reached < size:
+        forget(d)
+        return None, True
+    found = _fringe(depth, lambda level: [r["v"] for r in d.filter(F.col("dist") == level).select("v").orderBy("v").limit(most_rounds).collect()], depth_of, most_rounds)
+    forget(d)
+    return found
+
+
 def block_diameter(edges: DataFrame, partition: DataFrame, most_rounds: int = 100, most_vertices: int = 200_000) -> DataFrame:
-    """(blk, diameter, exact): iterated fringe bounds in each block; null if the block is disconnected. A block must
-    have at most most_vertices vertices, as it is searched in one task; a larger one gives a row with exact = false and
-    a lower bound of 0, for bfs() to refine."""
+    """(blk, diameter, exact): iterated fringe bounds in each block; null if the block is disconnected. A block of at most
+    most_vertices vertices is searched in one task, a larger one by bfs() over all tasks, for the same result."""
     inner = with_blocks(edges, partition).filter("bs = bd and src <> dst").select(F.col("bs").alias("blk"), "src", "dst")
     alone = partition.select("blk", F.col("v").alias("src"), F.lit(None).cast("long").alias("dst"))
     size = partition.groupBy("blk").agg(F.count("*").alias("size"))
@@ -262,22 +299,20 @@ def block_diameter(edges: DataFrame, partition: DataFrame, most_rounds: int = 10
         d = levels(start)
         if (d < 0).any():
             return pd.DataFrame({"blk": [key[0]], "diameter": [None], "exact": [True]}, columns=["blk", "diameter", "exact"]).astype({"diameter": "Int64"})
-        low, high, rounds, level = int(d.max()), 2 * int(d.max()), 0, int(d.max())
-        while low < high and rounds < most_rounds:
-            for x in np.flatnonzero(d == level):
-                low, rounds = max(low, int(levels(x).max())), rounds + 1
-                if rounds >= most_rounds:
-                    break
-            else:
-                high = max(low, 2 * (level - 1))
-                level -= 1
-                continue
-            break
-        return pd.DataFrame({"blk": [key[0]], "diameter": pd.array([low], dtype="Int64"), "exact": [low >= high]})
+        low, exact = _fringe(int(d.max()), lambda level: np.flatnonzero(d == level), lambda x: int(levels(x).max()), most_rounds)
+        return pd.DataFrame({"blk": [key[0]], "diameter": pd.array([low], dtype="Int64"), "exact": [exact]})
 
     done = small.select("blk", "src", "dst").groupBy("blk").applyInPandas(run, "blk int, diameter long, exact boolean")
-    large = size.filter(F.col("size") > most_vertices).select(F.col("blk").cast("int"), F.lit(0).cast("long").alias("diameter"), F.lit(False).alias("exact"))
-    return done.unionByName(large)
+    large = size.filter(F.col("size") > most_vertices).orderBy("blk").collect()
+    if not large:
+        return done
+    wide = settle(inner.join(F.broadcast(size.filter(F.col("size") > most_vertices)), "blk").select("blk", "src", "dst"))
+    found = []
+    for r in large:
+        own = F.col("blk") == r["blk"]
+        found.append((int(r["blk"]), *_wide_diameter(wide.filter(own).select("src", "dst"), partition.filter(own).select("v"), r["size"], most_rounds)))
+    forget(wide)
+    return done.unionByName(edges.sparkSession.createDataFrame(found, "blk int, diameter long, exact boolean"))
 
 
 def edge_colouring(pairs: Sequence[tuple[int, int, float]]) -> list[tuple[int, int, int]]:

@@ -101,6 +101,16 @@ def test_diameters(spark, grid8, quarters):
     assert {r["metric"]: r["value"] for r in metrics.diameter_metrics(e, odd).collect()}["numDisconBlocks"] == 2
 
 
+def test_diameters_of_large_blocks(spark):
+    v, e = generate.grid(spark, (4, 4))
+    # A path, a grid of eight vertices, a block in two parts, and one of a single vertex.
+    last = F.when(F.col("x") == 1, 3).otherwise(2)
+    p = v.select("v", F.when(F.col("y") == 0, 0).when(F.col("y") < 3, 1).otherwise(last).cast("int").alias("blk")).cache()
+    want = [(0, 3, True), (1, 4, True), (2, None, True), (3, 0, True)]
+    assert rows(graph.block_diameter(e, p)) == want
+    assert rows(graph.block_diameter(e, p, most_vertices=0)) == want
+
+
 def test_laplacian_rows_sum_to_zero(grid8):
     _, e = grid8
     assert all(abs(r["s"]) < 1e-12 for r in graph.laplacian(e).groupBy("row").agg(F.sum("value").alias("s")).collect())
