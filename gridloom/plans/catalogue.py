@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import hilbert, scalars
 from gridloom.operators import diffusion, graph, kmeans, metrics, multilevel, multisection, pixel, ranks, sfc, spatial, topology
-from gridloom.plans.fixtures import embedding_points, order_points, order_points_3d, part_points, supply_graph, supply_partition
+from gridloom.plans.fixtures import embedding_points, order_points, order_points_3d, part_points, supply_blocks, supply_graph, supply_partition, supply_points
 from gridloom.plans.run import heatmap, partition_graph
 from gridloom.settings import Settings
 from gridloom.sources import generate
@@ -57,7 +57,7 @@ def _laplacian_rows(s: SparkSession, d: str) -> DataFrame:
 
 
 def _kmeans(s: SparkSession, d: str) -> DataFrame:
-    return _sizes(kmeans.kmeans_partition(order_points(s, d), ["x", "y"], K, settings=Settings(num_blocks=K, max_kmeans_iterations=10, min_sampling_nodes=-1))[0])
+    return _sizes(kmeans.kmeans_partition(order_points(s, d), ["x", "y"], K, settings=Settings(num_blocks=K, min_sampling_nodes=-1))[0])
 
 
 def _fuzzy(s: SparkSession, d: str) -> DataFrame:
@@ -69,10 +69,9 @@ def _tree(s: SparkSession) -> DataFrame:
     return topology.from_leaves(s, rows)
 
 
-def _refined_grid(s: SparkSession, d: str) -> DataFrame:
-    v, e = _grid(s)
-    p = v.select("v", (F.col("v") % 4).cast("int").alias("blk"))
-    out, _ = multilevel.refine(v, e, p, 4, np.full(4, 1024 / 4 * 1.03), Settings(num_blocks=4, min_border_nodes=3))
+def _refined(s: SparkSession, d: str) -> DataFrame:
+    v, e = supply_points(s, d), supply_graph(s, d)
+    out, _ = multilevel.refine(v, e, supply_blocks(s, d), 4, np.full(4, v.count() / 4 * 1.03), Settings(num_blocks=4, min_border_nodes=3))
     return graph.edge_cut(e, out)
 
 
@@ -146,18 +145,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "random_points": lambda s, d: generate.random_points(s, 1000, 2, 5.0, 3).agg(F.count("*").alias("n"), F.max(F.greatest("x", "y") <= 5.0).alias("inside")),
         # No SQL for what follows: iterations and sequential kernels, whose invariants tests/ check.
         "kmeans_partition": _kmeans,
-        "kmeans_embeddings": lambda s, d: _sizes(kmeans.kmeans_partition(embedding_points(s, d), ["x"], 5, settings=Settings(num_blocks=5, max_kmeans_iterations=8, min_sampling_nodes=-1))[0]),
-        "hierarchical_kmeans": lambda s, d: _sizes(kmeans.hierarchical(part_points(s, d), ["x", "y"], [2, 4], settings=Settings(max_kmeans_iterations=5, min_sampling_nodes=-1))),
+        "kmeans_embeddings": lambda s, d: _sizes(kmeans.kmeans_partition(embedding_points(s, d), ["x"], 5, settings=Settings(num_blocks=5, min_sampling_nodes=-1))[0]),
+        "hierarchical_kmeans": lambda s, d: _sizes(kmeans.hierarchical(part_points(s, d), ["x", "y"], [2, 4], settings=Settings(min_sampling_nodes=-1))),
         "multisection": lambda s, d: _sizes(multisection.multisection(order_points(s, d), ["x", "y"], 16)[0]),
         "coordinate_bisection": lambda s, d: _sizes(multisection.coordinate_bisection(order_points(s, d), ["x", "y"], 7)),
         "pixel_partition": lambda s, d: _sizes(pixel.pixel_partition(order_points(s, d), ["x", "y"], 4)),
-        "spectral_partition": lambda s, d: _sizes(pixel.spectral_partition(*_grid(s), ["x", "y"], 4, 8)),
+        "spectral_partition": lambda s, d: _sizes(pixel.spectral_partition(supply_points(s, d), supply_graph(s, d), ["x", "y"], 4, 8)),
         "quadtree": lambda s, d: spatial.tree_statistics(spatial.quadtree(order_points(s, d), ["x", "y"], 64)[1], 2),
         "kd_tree": lambda s, d: spatial.kd_tree(order_points(s, d), ["x", "y"], 4).groupBy("leaf").agg(F.count("*").alias("n")),
-        "matching": lambda s, d: multilevel.matching(_grid(s)[1], _grid(s)[0]),
-        "refinement": _refined_grid,
-        "block_diameter": grid_cut(graph.block_diameter),
-        "pipeline_partition": lambda s, d: partition_graph(*_grid(s), Settings(num_blocks=4, dimensions=2, tool="geosfc", no_refinement=False, multilevel_rounds=1)).groupBy("blk").agg(F.count("*").alias("n")),
+        "matching": lambda s, d: multilevel.matching(supply_graph(s, d), supply_points(s, d)),
+        "refinement": _refined,
+        "block_diameter": lambda s, d: graph.block_diameter(supply_graph(s, d), supply_blocks(s, d)),
+        "pipeline_partition": lambda s, d: partition_graph(supply_points(s, d), supply_graph(s, d), Settings(num_blocks=4, dimensions=2, tool="geosfc", no_refinement=False, multilevel_rounds=1)).groupBy("blk").agg(F.count("*").alias("n")),
+        # The whole tables, where the query of the plain name and its SQL have a grid.
+        "bfs_levels_supply": lambda s, d: graph.bfs(supply_graph(s, d), supply_points(s, d).agg(F.min("v").alias("v"))),
+        "shortest_paths_supply": lambda s, d: graph.shortest_paths(supply_graph(s, d), supply_points(s, d).agg(F.min("v")).first()[0]).select("v", "dist"),
+        "pixel_graph_supply": lambda s, d: pixel.pixel_graph(supply_points(s, d), supply_graph(s, d), ["x", "y"], 4)[1],
+        "coarsen_contract_supply": lambda s, d: multilevel.contract(supply_graph(s, d), supply_points(s, d).select("v", F.floor(F.col("v") / 4).cast("long").alias("c"))),
+        "nearest_partner_supply": lambda s, d: multilevel.nearest_partner(supply_graph(s, d), supply_points(s, d), ["x", "y"]),
     }
 
 

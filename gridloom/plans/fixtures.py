@@ -35,5 +35,16 @@ def supply_partition(spark: SparkSession, d: str, k: int = 8) -> DataFrame:
     return supply_graph(spark, d).select(F.col("src").alias("v")).distinct().select("v", (F.col("v") % k).cast("int").alias("blk"))
 
 
+def supply_points(spark: SparkSession, d: str) -> DataFrame:
+    """(v, x, y, w0): vertices of the supply graph by the mean quantity and day of their line items."""
+    rows = table(spark, d, "lineitem").select(F.explode(F.array(F.col("l_partkey") * 2, F.col("l_suppkey") * 2 + 1)).alias("v"), F.col("l_quantity").cast("double").alias("x"), F.datediff("l_shipdate", F.lit("1995-01-01")).cast("double").alias("y"))
+    return rows.filter("v is not null").groupBy("v").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.lit(1.0).alias("w0"))
+
+
+def supply_blocks(spark: SparkSession, d: str, k: int = 4) -> DataFrame:
+    """(v, blk): parts and suppliers of one key modulo k together, so that blocks have inner edges."""
+    return supply_points(spark, d).select("v", (F.floor(F.col("v") / 2) % k).cast("int").alias("blk"))
+
+
 def embedding_points(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("v"), F.col("embedding").cast("array<double>").alias("x"))

@@ -509,3 +509,62 @@ def test_streaming_assignment(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert seen and seen[0] > 0.01
+
+
+def test_graph_queries_cover_their_tables(spark, tmp_path, monkeypatch):
+    import datetime
+
+    from gridloom.plans import catalogue
+
+    rnd = random.Random(8)
+    pairs = [(p, s) for p in range(24) for s in rnd.sample(range(8), 3)]
+    items = [(p, s, float(p % 7), datetime.datetime(1995, 1, 1 + (p + s) % 28)) for p, s in pairs + pairs[::5]]
+    spark.createDataFrame(items, "l_partkey long, l_suppkey long, l_quantity double, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    w = {}
+    for p, t, *_ in items:
+        for a, b in ((2 * p, 2 * t + 1), (2 * t + 1, 2 * p)):
+            w[a, b] = w.get((a, b), 0.0) + 1
+    blk = {v: v // 2 % 4 for v, _ in w}
+    run = lambda n: catalogue.queries()[n](spark, str(tmp_path))
+
+    def paths(source, cost, inside=lambda a, b: True):
+        best, todo = {source: 0}, [source]
+        while todo:
+            x = todo.pop(0)
+            for (a, b), c in w.items():
+                if a == x and inside(a, b) and best[x] + cost(c) < best.get(b, 1e9):
+                    best[b] = best[x] + cost(c)
+                    todo.append(b)
+        return best
+
+    assert dict(rows(run("bfs_levels_supply"), "v", "dist")) == paths(min(blk), lambda c: 1)
+    assert dict(rows(run("shortest_paths_supply"))) == paths(min(blk), lambda c: c)
+    coarse = {}
+    for (a, b), c in w.items():
+        if a // 4 != b // 4:
+            coarse[a // 4, b // 4] = coarse.get((a // 4, b // 4), 0.0) + c
+    assert {(a, b): c for a, b, c in rows(run("coarsen_contract_supply"))} == coarse
+    mates = dict(rows(run("nearest_partner_supply")))
+    assert set(mates) == set(blk) and all(x in w for x in mates.items())
+    used = [x for r in run("matching").collect() for x in r]
+    assert len(used) == len(set(used)) > 8 and all((a, b) in w for a, b in zip(used[::2], used[1::2], strict=True))
+    want = []
+    for b in range(4):
+        own = [v for v in blk if blk[v] == b]
+        d = [paths(v, lambda c: 1, lambda x, y: blk[x] == blk[y]) for v in own]
+        want.append((b, max(max(x.values()) for x in d) if len(d[0]) == len(own) else None))
+    assert sorted(tuple(r)[:2] for r in run("block_diameter").collect()) == want
+    before = sum(c for (a, b), c in w.items() if blk[a] != blk[b]) / 2
+    # Blocks of eight have no room for a ninth vertex, so the cut stays.
+    assert value(run("refinement")) == before
+    for n in ("spectral_partition", "pipeline_partition"):
+        assert run(n).agg(F.sum("n")).first()[0] == len(blk)
+
+    seen = []
+    monkeypatch.setattr(catalogue.kmeans, "kmeans_partition", lambda *a, settings, **b: seen.append(settings) or (spark.range(1).withColumn("blk", F.lit(0)), None))
+    monkeypatch.setattr(catalogue.kmeans, "hierarchical", lambda *a, settings, **b: seen.append(settings) or spark.range(1).withColumn("blk", F.lit(0)))
+    for n in ("order_points", "part_points", "embedding_points"):
+        monkeypatch.setattr(catalogue, n, lambda s, d: None)
+    for n in ("kmeans_partition", "kmeans_embeddings", "hierarchical_kmeans"):
+        run(n)
+    assert [x.max_kmeans_iterations for x in seen] == [Settings().max_kmeans_iterations] * 3
