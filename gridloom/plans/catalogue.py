@@ -163,6 +163,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pixel_graph_supply": lambda s, d: pixel.pixel_graph(supply_points(s, d), supply_graph(s, d), ["x", "y"], 4)[1],
         "coarsen_contract_supply": lambda s, d: multilevel.contract(supply_graph(s, d), supply_points(s, d).select("v", F.floor(F.col("v") / 4).cast("long").alias("c"))),
         "nearest_partner_supply": lambda s, d: multilevel.nearest_partner(supply_graph(s, d), supply_points(s, d), ["x", "y"]),
+        # All ids divisible by 20, and all edges, where the query of the plain name and its SQL take some.
+        "radius_query_20": lambda s, d: spatial.within_radius(part_points(s, d), part_points(s, d).filter("v % 20 = 0").withColumnRenamed("v", "q"), ["x", "y"], 3.0).select("q", "v", F.round("dist", 6).alias("dist")),
+        "edge_symmetry_all": lambda s, d: graph.asymmetric(supply_graph(s, d)).groupBy((F.col("src") % 4).alias("m")).agg(F.count("*").alias("n")),
     }
 
 
@@ -287,6 +290,8 @@ UNION ALL SELECT 'maxBlockGraphDegree', CAST(max(d) AS DOUBLE) FROM bg UNION ALL
         "nearest_partner": f"WITH {_GRID}, h AS (SELECT v, r + (v * 7 % 11) / 100.0::DOUBLE AS x, c + (v * 5 % 13) / 100.0::DOUBLE AS y FROM g), k AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), dst) AS n FROM e JOIN h a ON a.v = src JOIN h b ON b.v = dst) SELECT src AS v, dst AS mate FROM k WHERE n = 1",
         "centre_distances": f"{_P}, c AS (SELECT v % 4 AS b, avg(x) AS cx, avg(y) AS cy FROM q GROUP BY 1) SELECT v, round(sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)), 6) AS dist FROM q JOIN c ON b = v % 4",
         "radius_query": f"{_P} SELECT a.v AS q, b.v AS v, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) AS dist FROM q a JOIN q b ON a.v % 50 = 0 AND abs(a.x - b.x) < 3 AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) < 3.0",
+        "radius_query_20": f"{_P} SELECT a.v AS q, b.v AS v, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) AS dist FROM q a JOIN q b ON a.v % 20 = 0 AND abs(a.x - b.x) < 3 AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) < 3.0",
+        "edge_symmetry_all": f"{_S} SELECT src % 4 AS m, count(*) AS n FROM e WHERE NOT EXISTS (SELECT 1 FROM e g WHERE g.src = e.dst AND g.dst = e.src) GROUP BY 1",
         "drifted_weights": f"{_P}, m AS (SELECT sqrt(power(max(x) - min(x), 2) + power(max(y) - min(y), 2)) AS m FROM q) SELECT v, round(power(2.0::DOUBLE / (1 + sqrt((x - 10) * (x - 10) + (y - 920) * (y - 920)) / m), 2), 6) AS w0 FROM q, m",
         "box_distances": f"{_P} SELECT v, round(sqrt(power(greatest(10 - x, 0, x - 20), 2) + power(greatest(920 - y, 0, y - 940), 2)), 6) AS near, round(sqrt(power(greatest(abs(x - 10), abs(x - 20)), 2) + power(greatest(abs(y - 920), abs(y - 940)), 2)), 6) AS far FROM q",
         "grid_positions": "SELECT v, v // 60 AS i, v // 10 % 6 AS j, v % 10 AS k, abs(v // 16 % 16 - 1) + abs(v % 16 - 1) AS l1 FROM range(240) t(v)",

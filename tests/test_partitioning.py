@@ -568,3 +568,16 @@ def test_graph_queries_cover_their_tables(spark, tmp_path, monkeypatch):
     for n in ("kmeans_partition", "kmeans_embeddings", "hierarchical_kmeans"):
         run(n)
     assert [x.max_kmeans_iterations for x in seen] == [Settings().max_kmeans_iterations] * 3
+
+
+def test_searches_take_every_twentieth_id_and_all_edges(spark, tmp_path):
+    from gridloom.plans import catalogue
+
+    spark.range(1, 201).selectExpr("id p_partkey", "int(id % 50) p_size", "900.0D + id % 7 p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r[:2] for r in rows(catalogue.queries()["radius_query_20"](spark, str(tmp_path)))}
+    near = lambda a, b: (a % 50 - b % 50) ** 2 + (a % 7 - b % 7) ** 2 < 9
+    assert got == {(q, v) for q in range(20, 201, 20) for v in range(1, 201) if near(q, v)}
+    spark.createDataFrame([(p, p % 3) for p in range(9)], "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert catalogue.queries()["edge_symmetry_all"](spark, str(tmp_path)).count() == 0
+    one_way = spark.createDataFrame([(0, 1), (1, 0), (6, 2), (2, 3)], "src long, dst long")
+    assert rows(graph.asymmetric(one_way)) == [(2, 3), (6, 2)]
