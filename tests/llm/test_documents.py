@@ -404,6 +404,13 @@ def test_quality_separates_junk(spark):
     assert quality.op7(docs.limit(0)).count() == 0 and quality.op7(docs.filter("text is null")).count() == 1
 
 
+def test_quality_learns_from_its_whole_sample():
+    import inspect
+
+    for f in (quality.train, quality.score_documents, quality.accepted_documents):
+        assert inspect.signature(f).parameters["sample"].default == 4000
+
+
 def test_quality_em_learns_accuracies():
     import numpy as np
 
