@@ -424,3 +424,30 @@ def test_quality_em_learns_accuracies():
     assert abs(prior - 0.85) < 0.03 and np.abs(table[1, :, 1] - right).max() < 0.05
     assert ((good[at] > 0.5) == truth).mean() > 0.97
     assert (quality.unpattern(codes)[at] == v).all()
+
+
+def test_pii_decodes_as_if_everywhere(corpus):
+    rnd = random.Random(12)
+    atoms = ["token", "=", '"', "0f9e8d7c6b5a49382716", "password:", "(743) 555-3824", "word", "Word", "2001:0db8:0:0:85a3:8a2e:0370:7334", "mail", "x @ y.org", ".", "4785.3805.9239.1139", "12", "é", "_", "中文", "\n"]
+    texts = [t or "" for _, t in corpus] + [" ".join(rnd.choice(atoms) for _ in range(rnd.randint(0, 60))) for _ in range(300)]
+    field = pii.trained()
+    got = pii.all_spans(texts, field)
+    assert got == pii.all_spans(texts, field, everywhere=True)
+    assert any(more for _, more in got)
+    assert got == [pii.all_spans([t], field)[0] for t in texts]
+    for t, (_, more) in zip(texts, got, strict=True):
+        assert all(pii._valid(k, t[a:b]) for k, a, b in more)
+
+
+def test_pii_checks_of_added_spans():
+    k = pii.KINDS.index
+    assert pii._valid(k("card"), "4785.3805.9239.1139") and not pii._valid(k("card"), "4785.3805.9239.1138")
+    assert pii._valid(k("ip"), "2001:0db8:85a3:0:0:8a2e:0370:7334") and not pii._valid(k("ip"), "1.2.3.256") and not pii._valid(k("ip"), "12:30")
+    assert pii._valid(k("phone"), "743 555 3824") and not pii._valid(k("phone"), "12 34")
+    assert pii._valid(k("email"), "a @ b.org") and not pii._valid(k("email"), "a.org") and not pii._valid(k("secret"), "a1b2")
+
+
+def test_pii_finds_secrets_without_digits():
+    text = 'The door was open. password = "openthegateplease" and then they left the house.'
+    _, more = pii.all_spans([text], pii.trained())[0]
+    assert [(pii.KINDS[k], text[a:b]) for k, a, b in more] == [("secret", "openthegateplease")]
