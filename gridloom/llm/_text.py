@@ -173,3 +173,19 @@ def code_points(data: np.ndarray) -> np.ndarray:
     out = np.zeros(len(data) + 1, dtype=np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=out[1:])
     return out
+
+
+def gram_counts(data: np.ndarray, bounds: np.ndarray, fold: np.ndarray, orders, width: int):
+    """For each row the counts of its hashed byte n-grams, as a dense vector."""
+    base = int(bounds[0])
+    codes = fold[data[base : int(bounds[-1])]].astype(np.uint32)
+    shift = np.uint32(32 - (width.bit_length() - 1))
+    hashed, key = [], np.zeros(len(codes), dtype=np.uint32)
+    for n in range(1, max(orders) + 1):
+        key = (codes if n == 1 else key[: len(codes) - n + 1] * np.uint32(257) + codes[n - 1 :]).astype(np.uint32)
+        hashed.append((((key + np.uint32(n * 7919)) * np.uint32(2654435761)) >> shift).astype(np.int32) if n in orders else None)
+    at = bounds - base
+    for i in range(len(bounds) - 1):
+        a, b = int(at[i]), int(at[i + 1])
+        parts = [hashed[n - 1][a : max(a, b - n + 1)] for n in orders]
+        yield np.bincount(np.concatenate(parts), minlength=width)

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import _text as T
 from gridloom.llm._spark import only, stored
-from gridloom.llm.langid import gram_counts
 
 WIDTH = 1 << 12
 LABELLERS = ("symbols", "capitals", "adjacent", "trigrams", "wordless", "length", "ends", "stops")
@@ -150,7 +149,7 @@ def _vector(counts: np.ndarray, stats: np.ndarray) -> np.ndarray:
 def _vectors(data: np.ndarray, bounds: np.ndarray):
     words = T.Words(data, bounds, T.BLANK_WORD)
     stats = statistics(words)
-    for i, c in enumerate(gram_counts(data, bounds, _SHAPE, (2, 3, 4), WIDTH)):
+    for i, c in enumerate(T.gram_counts(data, bounds, _SHAPE, (2, 3, 4), WIDTH)):
         yield _vector(c, stats[i])
 
 

@@ -451,3 +451,44 @@ def test_pii_finds_secrets_without_digits():
     text = 'The door was open. password = "openthegateplease" and then they left the house.'
     _, more = pii.all_spans([text], pii.trained())[0]
     assert [(pii.KINDS[k], text[a:b]) for k, a, b in more] == [("secret", "openthegateplease")]
+
+
+def test_language_grams_are_those_of_characters():
+    from collections import Counter
+
+    import numpy as np
+
+    def by_force(text):
+        t = re.sub(r" +", " ", " " + "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text) + " ")
+        return Counter(t[i : i + n] for n in range(1, langid.ORDERS + 1) for i in range(len(t) - n + 1))
+
+    for text in ("Ünïcode Straße 42!", "中文测试", "Привет, мир", "a", "𐐷𝔘b x", "И" * 40_000, "the cat the dog"):
+        slots, counts = langid.grams(text.encode())
+        want = by_force(text)
+        assert counts.sum() == sum(want.values()) and len(slots) <= len(want)
+        # Grams share a slot only by chance.
+        assert len(slots) >= len(want) - 1 and sorted(counts)[-1] >= max(want.values())
+    assert langid.grams(b"12 .,!") is None and langid.grams(b"") is None
+    assert langid.grams("ПРИВЕТ".encode())[0].tolist() == langid.grams("привет".encode())[0].tolist()
+    assert isinstance(langid.unit(np.array([1]), np.array([2.0]), np.ones(langid.WIDTH)), np.ndarray)
+
+
+def test_language_of_other_scripts(spark):
+    rnd = random.Random(7)
+    alphabets = {"ru": "авеикнорстлмдпу", "zh": "的一是不了人我在有他这中大来上", "ja": "のにはをたがでてとしれさあいう", "el": "αβγδεικλμνοπρσ"}
+    say = lambda k, n: "".join(rnd.choice(alphabets[k]) + (" " if k in ("ru", "el") and rnd.random() < 0.2 else "") for _ in range(n))
+    rows = [(i, say(k, rnd.randint(5, 80)), k) for i, k in enumerate(rnd.choice(list(alphabets)) for _ in range(200))]
+    rows.append((5000, say("zh", 200_000), None))
+    docs = spark.createDataFrame([(i, t, k, "s", 1) for i, t, k in rows], "doc_id long, text string, lang string, source string, order int")
+    got = {r["doc_id"]: r for r in langid.op5(docs).collect()}
+    assert sum(got[i]["lang_pred"] == k for i, _, k in rows[:200]) >= 198 and got[5000]["lang_pred"] == "zh"
+
+
+def test_language_sample_is_that_of_least_hashes(spark):
+    rows = [(i, "x", "ab"[i % 7 == 0]) for i in range(6000)] + [(3, "y", "a"), (None, "z", "a")]
+    known = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    own = {}
+    for r in known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).collect():
+        own.setdefault(r["lang"], []).append((r["h"], -1 if r["doc_id"] is None else r["doc_id"]))
+    want = {(i, k) for k, v in own.items() for _, i in sorted(v)[:50]}
+    assert {(-1 if r[0] is None else r[0], r[1]) for r in langid._sample(known, 50).collect()} == want
