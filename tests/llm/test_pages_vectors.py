@@ -124,6 +124,112 @@ def test_purity_reaches_unruled_pages_among_rare_siblings(spark):
         assert got[u]["verdict"] == ("allow" if "/item/" in u else "block"), u
 
 
+def judged_by_force(urls, rules, many=8, support=20, spread=0.15, prior=0.3, weight=4.0, threshold=0.9):
+    """{url: (template's members, purity, verdict)} by recursion over each host's paths."""
+    rows = {}
+    for u in urls:
+        host, path = split_by_force(u)
+        fit = [(h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        verdict = max(fit, key=lambda x: len(x[0]))[1] if fit else None
+        seg = ["{x}" if re.fullmatch("[0-9a-fA-F-]{16,}", x) else re.sub("[0-9]+", "{n}", x) for x in path.split("/")[1:]]
+        seg = tuple(x for i, x in enumerate(seg) if i < 2 or not x == seg[i - 1] == seg[i - 2])
+        r = rows.setdefault((host, seg), {"n": 0, "l": 0, "b": 0})
+        r["n"] += 1
+        r["l"] += verdict is not None
+        r["b"] += verdict == "block"
+        r.setdefault("urls", []).append((u, verdict))
+    for (host, seg), r in rows.items():
+        others = [x["b"] / x["l"] for (h, s), x in rows.items() if s == seg and h != host and x["l"]]
+        r["prior"] = (sum(others) + weight * prior) / (len(others) + weight)
+    out, templates = {}, {}
+
+    def total(members, f):
+        return sum(rows[m][f] for m in members)
+
+    def walk(host, at, members):
+        """members: (key of the row, rest of its path) below a node."""
+        kids = {}
+        for key, rest in members:
+            kids.setdefault(rest[0] if rest else "$", []).append((key, rest))
+        if len(members) == 1 or (len(kids) == 1 and not members[0][1]):
+            templates.setdefault((host, at + tuple(members[0][1])), []).extend(k for k, _ in members)
+            return
+        if len(kids) == 1:
+            walk(host, (*at, members[0][1][0]), [(k, rest[1:]) for k, rest in members])
+            return
+        mass, profile, group = {}, {}, {}
+        for seg, own in kids.items():
+            keys = [k for k, _ in own]
+            mass[seg] = total(keys, "n")
+            shares = {}
+            for k, rest in own:
+                b = re.sub("[^/{}$]+", "a", "/".join(rest[1:])) if len(rest) > 1 else "$"
+                shares[b] = shares.get(b, 0) + rows[k]["n"]
+            profile[seg] = {b: n / mass[seg] for b, n in shares.items()}
+            p = sum(rows[k]["n"] * rows[k]["prior"] for k in keys) / mass[seg]
+            e = (total(keys, "b") + weight * p) / (total(keys, "l") + weight)
+            group[seg] = (frozenset(b for b, x in profile[seg].items() if x >= spread), 1 if e >= threshold else -1 if e <= 1 - threshold else 0)
+        whole = sum(mass.values())
+        names = {}
+        for seg in kids:
+            like = [x for x in kids if group[x] == group[seg]]
+            pool = {}
+            for x in like:
+                for b, share in profile[x].items():
+                    pool[b] = pool.get(b, 0) + share * mass[x] / sum(mass[y] for y in like)
+            far = sum(max(0, share - pool[b]) for b, share in profile[seg].items())
+            if seg in ("$", "{x}") or "{n}" in seg:
+                names[seg] = seg
+            elif len(kids) > many and whole < len(kids) * support and mass[seg] < max(support, whole * 0.05):
+                names[seg] = "{*}"
+            else:
+                names[seg] = group[seg] if len(like) > 1 and far <= spread + 1e-12 else seg
+        merged = {}
+        for seg, own in kids.items():
+            merged.setdefault(names[seg], []).extend(own)
+        for name, own in merged.items():
+            if name == "$":
+                templates.setdefault((host, at), []).extend(k for k, _ in own)
+            else:
+                walk(host, (*at, name), [(k, rest[1:]) for k, rest in own])
+
+    for host in {h for h, _ in rows}:
+        walk(host, (), [(k, k[1]) for k in rows if k[0] == host])
+    for keys in templates.values():
+        mean = sum(rows[k]["n"] * rows[k]["prior"] for k in keys) / total(keys, "n")
+        purity = (total(keys, "b") + weight * mean) / (total(keys, "l") + weight)
+        own = frozenset(u for k in keys for u, _ in rows[k]["urls"])
+        for k in keys:
+            for u, v in rows[k]["urls"]:
+                out[u] = (own, purity, v or ("block" if purity >= threshold else "allow"))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_url_tree_by_force(spark, seed):
+    rnd = random.Random(seed)
+    rules = (("bad.io", "/", "block"), ("io", "/x/", "block"), ("good.net", "/en", "allow"), ("net", "/news", "allow"))
+    hosts = [f"{a}.{b}" for a in "abcdefghijklmnopqr" for b in ("bad.io", "some.io", "good.net", "other.net")] + ["lone.org"]
+    words = [f"{a}{b}{c}" for a in "klm" for b in "aeiou" for c in "st"]
+    urls = set(URLS) - {None}
+    for h in hosts:
+        for _ in range(rnd.choice([8, 20, 50])):
+            path = rnd.choice(["/x/{n}", "/x/{w}/view", "/news/{n}.html", "/news/{n}/{n}/", "/shop/{w}/buy/{n}", "/shop/{w}", "/en/{n}", "/fr/{n}", "/de/{n}", "/{w}", "/i/" + "z/" * rnd.randint(1, 9), "/f/0123456789abcdef{n}"])
+            path = re.sub(r"\{n\}", lambda m: str(rnd.randint(0, 9999)), re.sub(r"\{w\}", lambda m: rnd.choice(words), path))
+            urls.add(f"http://{h}{path}")
+    urls = sorted(urls)
+    want = judged_by_force(urls, rules)
+    got = {urls[r["page_id"]]: r for r in urlfilter.judge(pages(spark, [(i, u, "") for i, u in enumerate(urls)]).repartition(5), rules=rules).collect()}
+    members = {}
+    for u, r in got.items():
+        members.setdefault((r["host"], r["template"]), set()).add(u)
+    for u in urls:
+        r = got[u]
+        assert members[r["host"], r["template"]] == want[u][0], u
+        assert r["purity"] == pytest.approx(want[u][1]) and r["verdict"] == want[u][2], u
+    assert any(r["rule"] is None and r["verdict"] == "block" for r in got.values())
+
+
 PAGE = """<!DOCTYPE html><html lang="en"><head><title>T</title><style>p{{}}</style><script>var t="</p><p>no</p>";</script></head>
 <body><header><h1>Site name</h1><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav></header>
 <div class="cookie-notice"><p>We use cookies to make this work for you.</p><button>OK</button></div>
