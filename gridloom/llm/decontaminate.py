@@ -5,7 +5,7 @@ A window is ``n`` consecutive item words; an item of fewer words, but not none,
 
 Cases: null or wordless texts have no words and no hits; windows shared by several items count for each of them; a
 null item_id or item text is no item; rows that repeat an item_id are one item with the windows of all; an empty
-benchmark hits nothing; other columns pass by (``clean_documents`` keeps all columns of docs).
+benchmark hits nothing; a very long text is scanned whole, alone in its piece; other columns pass by (``clean_documents`` keeps all columns of docs).
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import _text as T
-from gridloom.llm._spark import only
+from gridloom.llm._spark import dropped, only, stored
 
 #: Words of the benchmark that may be broadcast (about 60 bytes each with their window); a larger set goes in parts.
 PART_WORDS = 1_000_000
@@ -116,6 +116,8 @@ def _hits(windows):
     return run
 
 
+#: Columns that hold the hits of a document while it is cleaned.
+ITEMS, SPANS, MARKS = "__items", "__spans", "__marks"
 _SPANS = "array<struct<start:long,stop:long>>"
 HITS = f"doc_id long, text string, n_words long, n_hit long, items array<string>, spans {_SPANS}, marks {_SPANS}"
 
@@ -140,43 +142,74 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, n: int = 8, key: str =
     by part, each part's hits merged with those before, so a broadcast never grows with it."""
     spark = docs.sparkSession
     now = only(docs, doc_id=f"{key}:bigint", text=f"{text}:string").withColumns({"items": F.array().cast("array<string>"), "marks": F.array().cast(_SPANS)})
-    for part in list(_windows(benchmark, item, item_text, n)) or [Windows([], n)]:
-        now = now.mapInArrow(_hits(spark.sparkContext.broadcast(part)), HITS)
-    return now
-
-
-def clean_documents(docs: DataFrame, benchmark: DataFrame, n: int = 8, least_items: int = 1, span_only: bool = False, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    last = None
+    for part in _windows(benchmark, item, item_text, n):
+        if last is not None:
+            # The driver and the workers hold one part at a time: its hits are settled before the next is built.
+            fresh = stored(now, "hits")
+            last.unpersist()
+            dropped(now)
+            now = fresh
+        last = spark.sparkContext.broadcast(part)
+        now = now.mapInArrow(_hits(last), HITS)
+    return now if last is not None else now.mapInArrow(_hits(spark.sparkContext.broadcast(Windows([], n))), HITS)
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, n: int = 8, least_items: int = 1, span_only: bool = False, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", length: str = "n_chars") -> DataFrame:
     """docs, same columns, without contaminated documents (hits of at least least_items items), or with ``span_only``
-    without the hit spans of their texts."""
-    spark = docs.sparkSession
-    parts = list(_windows(benchmark, item, item_text, n))
-    for part in parts:
-        held = spark.sparkContext.broadcast(part)
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-        at = docs.columns.index(text)
-        docs = docs.mapInArrow(_cleaner(held, at, least_items, span_only), schema)
-    return docs
-
-
-def _cleaner(windows, at: int, least_items: int, span_only: bool):
+    without the hit spans of their texts, whose length column, if there, is brought up to date. The hits of all parts of
+    a benchmark beyond PART_WORDS words count together."""
+    spark, names = docs.sparkSession, docs.columns
+    now = docs.withColumns({ITEMS: F.array().cast("array<string>"), SPANS: F.array().cast(_SPANS), MARKS: F.array().cast(_SPANS)})
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in now.schema)
+    at, last = names.index(text), None
+    for part in _windows(benchmark, item, item_text, n):
+        if last is not None:
+            fresh = stored(now, "clean")
+            last.unpersist()
+            dropped(now)
+            now = fresh
+        last = spark.sparkContext.broadcast(part)
+        now = now.mapInArrow(_scanned(last, at), schema)
+    if not span_only:
+        return now.filter(F.size(ITEMS) < least_items).select(*[F.col(f"`{c}`") for c in names])
+    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return now.mapInArrow(_cut(at, names.index(length) if length in names else None, least_items), plain)
+
+
+def _scanned(windows, at: int):
+    """Rows of any columns, the text's place among them given, with the last three brought up to date by _hits."""
     find = _hits(windows)
 
     def run(batches):
         for batch in batches:
-            rows = batch.num_rows
-            pair = pa.RecordBatch.from_arrays([pa.array(np.arange(rows)), batch.column(at), pa.array([[]] * rows, pa.list_(pa.string())), pa.array([[]] * rows, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))], names=["row", "text", "items", "marks"])
+            k, rows = batch.num_columns, batch.num_rows
+            pair = pa.RecordBatch.from_arrays([pa.array(np.arange(rows)), batch.column(at), batch.column(k - 3), batch.column(k - 1)], names=["row", "text", "items", "marks"])
             for out in find([pair]):
-                bad = np.array([len(x) >= least_items for x in out.column(4).to_pylist()], dtype=bool)
-                rows = np.asarray(out.column(0))
-                own = batch.slice(int(rows[0]), len(rows)) if len(rows) else batch.slice(0, 0)
-                if not span_only:
-                    yield own.filter(pa.array(~bad))
-                    continue
-                texts = own.column(at).to_pylist()
-                for i in np.flatnonzero(bad):
-                    for span in reversed(out.column(5)[int(i)].as_py()):
+                if out.num_rows:
+                    own = batch.slice(out.column(0)[0].as_py(), out.num_rows)
+                    yield pa.RecordBatch.from_arrays([*own.columns[: k - 3], *out.columns[4:7]], names=batch.schema.names)
+
+    return run
+
+
+def _cut(at: int, n_at: int | None, least_items: int):
+    def run(batches):
+        for batch in batches:
+            k = batch.num_columns
+            texts = batch.column(at).to_pylist()
+            sizes = batch.column(n_at).to_pylist() if n_at is not None else None
+            for i, (items, spans) in enumerate(zip(batch.column(k - 3).to_pylist(), batch.column(k - 2).to_pylist(), strict=True)):
+                if items and len(items) >= least_items:
+                    for span in reversed(spans):
                         texts[i] = texts[i][: span["start"]] + texts[i][span["stop"] :]
-                yield own.set_column(at, own.schema.field(at), pa.array(texts, own.schema.field(at).type))
+                    if sizes is not None:
+                        sizes[i] = len(texts[i])
+            own = pa.RecordBatch.from_arrays(batch.columns[: k - 3], names=batch.schema.names[: k - 3])
+            own = own.set_column(at, own.schema.field(at), pa.array(texts, own.schema.field(at).type))
+            if sizes is not None:
+                own = own.set_column(n_at, own.schema.field(n_at), pa.array(sizes, own.schema.field(n_at).type))
+            yield own
 
     return run
 

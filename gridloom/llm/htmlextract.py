@@ -10,7 +10,9 @@ Scripts, styles, comments, forms' controls and markup never count as text. Chara
 space in a block (with that of <br>) becomes one space, blocks are trimmed and joined by a blank line, in page order.
 
 Cases: null, empty or textless html gives an empty text; html that ends early keeps what it has; a page without markup
-is one block; rows that repeat are judged alike; a null page_id or url is kept; other columns are ignored.
+is one block; a quote in a tag that never ends counts as none from there on; a very long page is parsed in one pass;
+labellings of equal likelihood keep the node; rows that repeat are judged alike; a null page_id or url is kept; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +33,10 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"})}
 
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?][^>]*>)", re.S)
+# Possessive, so that a tag that never ends is given up in one pass.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_OPENS = re.compile(r"<(?=[a-zA-Z!?]|/[a-zA-Z])")
 _ATTR = re.compile(r"([^\s=\"'<>/]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _SPACE = re.compile(r"[\s\xa0]+")
@@ -77,6 +82,7 @@ def parse(source: str) -> tuple[Node, list[Node]]:
     silent = linked = 0
     text_node: list[Node | None] = [None]
     at, n = 0, len(source)
+    opened: dict[str, int] = {}
 
     def text(s: str) -> None:
         if silent or not s:
@@ -93,12 +99,15 @@ def parse(source: str) -> tuple[Node, list[Node]]:
     def pop() -> None:
         nonlocal silent, linked
         tag, _ = stack.pop()
+        opened[tag] -= 1
         silent -= tag in SILENT
         linked -= tag == "a"
         if tag not in INLINE:
             text_node[0] = None
 
     def close(names: set[str] | frozenset[str], stop: set[str]) -> None:
+        if not any(opened.get(x) for x in names):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] in names:
                 while len(stack) > i:
@@ -107,20 +116,39 @@ def parse(source: str) -> tuple[Node, list[Node]]:
             if stack[i][0] in stop:
                 return
 
+    pattern, seen = _TAG, 0
     while at < n:
-        m = _TAG.search(source, at)
-        if not m:
-            rest = source[at:]
-            cut = re.search(r"<[a-zA-Z/!][^>]*\Z", rest)
-            text(rest[: cut.start()] if cut else rest)
+        begin = _OPENS.search(source, max(at, seen))
+        if not begin:
+            text(source[at:])
             break
-        text(source[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+        first = begin.start()
+        if source[first + 1] in "!?":
+            comment = source.startswith("<!--", first)
+            stop = source.find("-->" if comment else ">", first + 2)
+            if stop < 0:
+                # A comment that never ends goes to the end of the page, another mark is cut off there.
+                text(source[at:first])
+                break
+            text(source[at:first])
+            at = stop + (3 if comment else 1)
             continue
+        m = pattern.match(source, first)
+        if not m and pattern is _TAG:
+            # A quote that never ends: from here on tags end at the next >, so no later tag looks for its end in vain.
+            pattern = _PLAIN_TAG
+            m = pattern.match(source, first)
+        if not m:
+            if source.find(">", first) < 0:
+                text(source[at:first])
+                break
+            seen = first + 1
+            continue
+        text(source[at:first])
+        at = m.end()
+        tag = m[2].lower()
         if m[1]:
-            if any(t == tag for t, _ in stack[1:]):
+            if opened.get(tag):
                 close({tag}, {"table"} if tag in INLINE or tag == "p" else set())
             continue
         if tag in ("html", "body"):
@@ -139,8 +167,9 @@ def parse(source: str) -> tuple[Node, list[Node]]:
         if tag in VOID:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at)
-            at = end.end() if end else n
+            end = re.compile(rf"</{re.escape(tag)}(?![^\s/>])", re.I).search(source, at)
+            at = source.find(">", end.end()) + 1 if end else 0
+            at = at or n
             continue
         if tag in INLINE:
             stack.append((tag, stack[-1][1]))
@@ -148,6 +177,7 @@ def parse(source: str) -> tuple[Node, list[Node]]:
             node = Node(tag, stack[-1][1], m[3])
             order.append(node)
             stack.append((tag, node))
+        opened[tag] = opened.get(tag, 0) + 1
         silent += tag in SILENT
         linked += tag == "a"
     # A node whose only child is a run of text takes it; there is then one decision for both.
@@ -274,7 +304,7 @@ def examples(pages: int = 400, seed: int = 11) -> list[tuple[str, list[str]]]:
             comment_list = "<ol>" + "".join(f"<li><p>{say(4, 60)}</p></li>" for _ in range(rnd.randint(1, 6))) + "</ol>"
             return rnd.choice(
                 [
-                    f'<div class="{rnd.choice(["ad", "ads", "advert", "sponsored", "promo", "ad-banner", "advertisement"])}">{rnd.choice([say(3, 30), few])}</div>',
+                    f'<div class="{rnd.choice(["ads", "advert", "sponsored", "promo", "top-advert", "advertisement"])}">{rnd.choice([say(3, 30), few])}</div>',
                     f'<aside{rnd.choice(["", " class=sidebar"])}><h3>{say(1, 3)}</h3>{rnd.choice([links, few])}</aside>',
                     f'<div class="{rnd.choice(["sidebar", "related", "widget", "side", "popular-posts", "recommended"])}"><h3>{say(1, 3)}</h3>{rnd.choice([links, few])}</div>',
                     f'<div class="{rnd.choice(["cookie-notice", "cookie", "notice", "consent", "gdpr-banner", "alert", "popup"])}">{rnd.choice([say(5, 30), few])}<button>ok</button></div>',
@@ -308,13 +338,13 @@ def examples(pages: int = 400, seed: int = 11) -> list[tuple[str, list[str]]]:
             else:
                 s = say(1, long)
                 main.append(s)
-                parts.append(rnd.choice([f"<p>{s}</p>", f"<p><b>{s}<br>", f"<p>{s}"]))
+                parts.append(rnd.choice([f"<p>{s}</p>", f"<p><em>{s}</em></p>", f"<p>{s}"]))
             if rnd.random() < 0.08:
                 parts.append(junk())
         body = "".join(parts)
         article = rnd.choice(["<article>{}</article>", "<article>{}</article>", "<main>{}</main>", '<div class="content">{}</div>', '<div id="main"><article>{}</article></div>', '<div class="post-body">{}</div>', '<main><div class="entry">{}</div></main>', '<article class="post">{}</article>', '<div class="wrap"><section class="article">{}</section></div>', "<div>{}</div>"]).format(body)
         pre = [menu() if rnd.random() < 0.8 else "", head, *(junk() for _ in range(rnd.choice([0, 1, 1, 2])))]
-        post = [*(junk() for _ in range(rnd.choice([0, 1, 1, 2, 3]))), rnd.choice(["", f"<footer>{say(2, 14)}</footer>", f"<footer>&copy; {say(1, 3)} &middot; {say(2, 20)}</footer>", f'<div class="footer"><p>{say(2, 14)}</p>{link()}</div>', f"<footer><ul><li>{link()}</li><li>{link()}</li></ul><p>{say(2, 10)}</p></footer>"])]
+        post = [*(junk() for _ in range(rnd.choice([0, 1, 1, 2, 3]))), rnd.choice(["", f"<footer>{say(2, 14)}</footer>", f"<footer>{say(1, 3)} | {say(2, 20)}</footer>", f'<div class="footer"><p>{say(2, 14)}</p>{link()}</div>', f"<footer><ul><li>{link()}</li><li>{link()}</li></ul><p>{say(2, 10)}</p></footer>"])]
         rnd.shuffle(pre)
         page = "".join(pre) + article + "".join(post)
         page = rnd.choice(["{}", '<div class="container">{}</div>', '<div id="page">{}</div>', "<div>{}</div>"]).format(page)

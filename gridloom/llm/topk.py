@@ -7,8 +7,9 @@ scores what is new, and stops when the bound, the score of a vector as good as t
 kth result (not at a tie, as a smaller id may still come). The blocks' results merge by a ranked window.
 
 Cases: null vectors and those with a null or non-finite component take no part, nor does a null id; vectors of different
-length don't meet; a row isn't its own result, but a row that repeats its id and vector is one row; fewer candidates
-than k give all; an empty table gives an empty result; other columns are ignored. A score beyond 64 bits is set to the
+length don't meet; a row isn't its own result, but a row that repeats its id and vector (as integers) is one row, and
+vectors that share an id are queries and candidates of their own, whose results are ranked together under that id; fewer
+candidates than k give all; an empty table gives an empty result; other columns are ignored. A score beyond 64 bits is set to the
 nearest 64-bit value before scores are compared.
 """
 
@@ -125,11 +126,13 @@ def _meet(k: int):
 def top_inner_products(vectors: DataFrame, k: int = 10, query_filter: str = "vec_id % 100 = 0", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row that passes query_filter the k rows of greatest inner product."""
     v = vectors.select(F.col(f"`{key}`").cast("long").alias("vec_id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
-    v = v.filter("vec_id is not null and v is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('inf'))").withColumn("dim", F.size("v"))
+    # Multiples of 1 / 1024 only, so that vectors which are equal as integers are equal rows.
+    v = v.withColumn("v", F.transform("v", lambda x: F.when(F.abs(x) < float(1 << 50), F.floor(x * 1024).cast("double") / 1024).otherwise(x)))
+    v = v.filter("vec_id is not null and v is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('inf'))").distinct().withColumn("dim", F.size("v"))
     n, n_q = v.agg(F.count("*"), F.count(F.when(F.expr(query_filter), 1))).first()
     n_rows, n_queries = max(1, -(-n // BLOCK_ROWS)), max(1, -(-n_q // QUERY_ROWS))
     rows = v.withColumn("row_block", F.pmod(F.xxhash64("vec_id"), F.lit(n_rows)).cast("int")).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
-    queries = v.filter(query_filter).dropDuplicates(["vec_id"]).withColumn("query_block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_queries)).cast("int")).withColumn("row_block", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))))
+    queries = v.filter(query_filter).withColumn("query_block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_queries)).cast("int")).withColumn("row_block", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))))
     by = ["dim", "query_block", "row_block"]
     found = queries.groupBy(*by).cogroup(rows.groupBy(*by)).applyInArrow(_meet(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

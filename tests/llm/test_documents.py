@@ -251,7 +251,9 @@ def test_decontamination_by_force(spark, corpus, monkeypatch):
     assert sorted(repr(tuple(r)) for r in decontaminate.op9(frame(spark, texts), bench).collect()) == want
 
 
-def test_decontamination_spans_and_cleaning(spark):
+@pytest.mark.parametrize("words", [1_000_000, 1])
+def test_decontamination_spans_and_cleaning(spark, monkeypatch, words):
+    monkeypatch.setattr(decontaminate, "PART_WORDS", words)
     bench = spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta")], "item_id long, text string")
     docs = frame(spark, [(1, "é x Alpha, beta; GAMMA y delta."), (2, "alpha beta"), (3, None), (4, "")])
     spans = {r[0]: [tuple(s) for s in r[1]] for r in decontaminate.benchmark_hits(docs, bench).select("doc_id", "spans").collect()}
@@ -260,7 +262,9 @@ def test_decontamination_spans_and_cleaning(spark):
     assert kept.columns == docs.columns and sorted(r[0] for r in kept.collect()) == [2, 3, 4]
     cut = decontaminate.clean_documents(docs, bench, span_only=True)
     assert {r[0]: r[1] for r in cut.select("doc_id", "text").collect()} == {1: "é x  y .", 2: "alpha beta", 3: None, 4: ""}
+    assert {r["doc_id"]: r["n_chars"] for r in cut.collect()} == {1: 8, 2: 10, 3: 0, 4: 0} and cut.columns == docs.columns
     assert decontaminate.clean_documents(docs, bench.limit(0)).count() == 4
+    assert sorted(r[0] for r in decontaminate.clean_documents(docs, bench, least_items=3).collect()) == [1, 2, 3, 4]
     assert decontaminate.op9(docs.limit(0), bench).count() == 0
 
 

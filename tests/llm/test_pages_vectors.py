@@ -41,6 +41,12 @@ def test_topk_by_force(spark, monkeypatch, block):
     assert topk.op2(vectors(spark, rows).limit(0)).count() == 0
 
 
+def test_topk_vectors_that_share_an_id(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 2.0]), (1, [3.0, 1.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0 + 2**-12]), (3, [-1.0, 5.0])]
+    got = [tuple(r) for r in topk.top_inner_products(vectors(spark, rows), 4, "vec_id = 0").orderBy("rank").select("vec_id", "score").collect()]
+    assert got == [(3, 10 * 1024**2), (1, 3 * 1024**2), (1, 2 * 1024**2), (2, 2 * 1024**2)]
+
+
 def test_topk_large_values_are_exact(spark):
     rows = [(0, [1e12, 1.0]), (1, [3e3, 0.5]), (2, [3e3, 0.25]), (3, [-1e12, 7.0]), (4, [1e30, 1.0])]
     got = [tuple(r) for r in topk.top_inner_products(vectors(spark, rows), 3, "vec_id < 2").orderBy("query_id", "rank").select("query_id", "rank", "vec_id", "score").collect()]
@@ -269,6 +275,52 @@ def test_html_accuracy_on_other_layouts():
     assert good / total > 0.8
 
 
+def other_layout(rnd):
+    """A page in markup that the training pages don't have, and its main blocks."""
+    word = lambda: "".join(rnd.choice("bdfgkmpstvaeiou") for _ in range(rnd.randint(2, 8)))
+    say = lambda lo, hi: " ".join(word() for _ in range(rnd.randint(lo, hi)))
+    main = [say(3, 9)]
+    body = f"<h2 itemprop=headline>{main[0]}</h2>"
+    for _ in range(rnd.randint(2, 7)):
+        kind = rnd.random()
+        if kind < 0.15:
+            items = [say(2, 9) for _ in range(3)]
+            main += items
+            body += "<dl>" + "".join(f"<dd>{x}" for x in items) + "</dl>"
+        else:
+            main.append(say(12, 70))
+            body += f"<P STYLE='margin:0'>\n  <SPAN>{main[-1]}</SPAN>\n</P>"
+    links = "".join(f"<td><a href=/{word()}>{say(1, 2)}</a></td>" for _ in range(rnd.randint(4, 8)))
+    menu = f"<table class=topmenu><tr>{links}</tr></table>"
+    thread = "<div class='discussion thread'>" + "".join(f"<blockquote><cite>{word()}</cite> {say(5, 30)}</blockquote>" for _ in range(rnd.randint(1, 4))) + "</div>"
+    extra = [f"<div class='sponsor box'><span>{say(3, 15)}</span></div>", f"<div id=consent-layer><p>{say(6, 20)}</p></div>", thread, f"<div class='related-links'><a href=#>{say(2, 4)}</a> <a href=#>{say(2, 4)}</a></div>", f"<form><fieldset><legend>{say(1, 3)}</legend><select><option>x</select></fieldset></form>"]
+    rnd.shuffle(extra)
+    return f"<HTML><BODY>{menu}<div class=inner><div role=main class='story'>{body}</div>{''.join(extra[: rnd.randint(1, 5)])}</div><div class=legal>{say(3, 12)}</div></BODY></HTML>", main
+
+
+def test_html_accuracy_on_unseen_markup():
+    model, rnd = htmlextract.trained(), random.Random(5)
+    good = 0
+    for _ in range(200):
+        source, main = other_layout(rnd)
+        good += htmlextract.main_texts([source], model)[0] == "\n\n".join(main)
+    assert good >= 180, good
+
+
+def test_html_hostile_pages_take_linear_time():
+    import time
+
+    for piece in ('<a "', "<a x=", "<", "</", "<!", "<script", "</script", "<p><b>", "<ul>", "<li>", "<i><ul>", "</b>", "<!--", "&", "<p '>"):
+        took = []
+        for n in (10_000, 40_000):
+            began = time.process_time()
+            htmlextract.parse(piece * n)
+            took.append(time.process_time() - began)
+        assert took[1] < 8 * max(took[0], 0.05), (piece, took)
+    _, order = htmlextract.parse('<p>a b c</p><a "><p>d e f</p>')
+    assert [htmlextract._text(x) for x in order if x.pieces] == ["a b c", "d e f"]
+
+
 def test_html_decoding_is_consistent_and_best():
     import itertools
 
