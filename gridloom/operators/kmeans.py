@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import hilbert
 from gridloom.operators import sfc
-from gridloom.session import settle
+from gridloom.session import forget, settle
 from gridloom.settings import Settings
 
 CELLS = 1 << 21
@@ -297,17 +297,18 @@ def membership_normalised(members: DataFrame, partition: DataFrame) -> DataFrame
     return v.join(F.broadcast(top), "blk").select("v", F.when(F.col("top") > 0, F.col("value") / F.col("top")).otherwise(F.lit(0.0)).alias("value"))
 
 
-def rebalance(points: DataFrame, partition: DataFrame, fuzzy: DataFrame, k: int, weights: Sequence[str], targets: np.ndarray, settings: Settings, rounds: int = 5, batch: int = 20_000, key: str = "v") -> DataFrame:
+def rebalance(points: DataFrame, partition: DataFrame, fuzzy: DataFrame, k: int, weights: Sequence[str], targets: np.ndarray, settings: Settings, batch: int = 20_000, key: str = "v") -> DataFrame:
     """(v, blk) after greedy moves of points out of overloaded blocks to another of their near centres.
 
-    Each round brings at most ``batch`` candidates, the least attached first, to the driver, which moves a point only if
-    the overload falls: ``reb_lex`` compares the sorted relative overloads, ``reb_sqimba`` their sum of squares. No
-    block leaves its epsilon by a move. Rounds end when nothing moves."""
+    A round brings the candidates, the least attached first, to the driver, at most ``batch`` at once and the next ones
+    only if of those none moves. A point moves only if the overload falls: ``reb_lex`` compares the sorted relative
+    overloads, ``reb_sqimba`` their sum of squares. No block leaves its epsilon by a move. Rounds end when no block is
+    overloaded or no candidate at all can move; each lowers the overload, so they do end."""
     eps = np.array(settings.epsilons or [settings.epsilon] * len(targets))[:, None]
     w = list(weights) or ["__one"]
     rows = points.withColumn("__one", F.lit(1.0)).select(F.col(key).alias("v"), F.array(*[F.col(c).cast("double") for c in w]).alias("w"))
     now = settle(partition.select("v", "blk"))
-    for _ in range(rounds):
+    while True:
         sums = now.join(rows, "v").groupBy("blk").agg(*[F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(len(w))]).collect()
         load = np.zeros((len(w), k))
         for r in sums:
@@ -315,29 +316,38 @@ def rebalance(points: DataFrame, partition: DataFrame, fuzzy: DataFrame, k: int,
         over = [int(b) for b in np.flatnonzero((load / targets - 1 > eps).any(axis=0))]
         if not over:
             break
-        tight = F.element_at("near", 1)["dist"] / F.element_at("near", 2)["dist"]
-        cand = now.filter(F.col("blk").isin(over)).join(fuzzy, "v").filter(F.size("near") > 1).orderBy(F.desc(tight), "v").limit(batch).join(rows, "v").collect()
+        tight = F.coalesce(F.try_divide(F.element_at("near", 1)["dist"], F.element_at("near", 2)["dist"]), F.lit(1.0))
+        cand = settle(now.filter(F.col("blk").isin(over)).join(fuzzy, "v").filter(F.size("near") > 1).select("v", "blk", "near", tight.alias("tight")))
         score = (lambda x: tuple(np.sort(x.max(axis=0))[::-1])) if settings.balance_method != "reb_sqimba" else (lambda x: float((np.maximum(x, 0) ** 2).sum()))
-        moves = []
-        for r in cand:
-            have, own = np.array(r["w"]), r["blk"]
-            if (load[:, own] / targets[:, own] - 1 <= eps[:, 0]).all():
-                continue
-            for s in r["near"]:
-                to = s["c"]
-                if to == own:
+        moves, last = [], None
+        while not moves:
+            left = cand if last is None else cand.filter((F.col("tight") < last["tight"]) | ((F.col("tight") == last["tight"]) & (F.col("v") > last["v"])))
+            some = left.orderBy(F.desc("tight"), "v").limit(batch).join(rows, "v").orderBy(F.desc("tight"), "v").collect()
+            for r in some:
+                have, own = np.array(r["w"]), r["blk"]
+                if (load[:, own] / targets[:, own] - 1 <= eps[:, 0]).all():
                     continue
-                trial = load.copy()
-                trial[:, own] -= have
-                trial[:, to] += have
-                if (trial[:, to] / targets[:, to] - 1 <= eps[:, 0]).all() and score(trial / targets - 1) < score(load / targets - 1):
-                    load = trial
-                    moves.append((r["v"], to))
-                    break
+                for s in r["near"]:
+                    to = s["c"]
+                    if to == own:
+                        continue
+                    trial = load.copy()
+                    trial[:, own] -= have
+                    trial[:, to] += have
+                    if (trial[:, to] / targets[:, to] - 1 <= eps[:, 0]).all() and score(trial / targets - 1) < score(load / targets - 1):
+                        load = trial
+                        moves.append((r["v"], to))
+                        break
+            if len(some) < batch:
+                break
+            last = some[-1]
+        forget(cand)
         if not moves:
             break
         m = points.sparkSession.createDataFrame(moves, "v long, to int")
-        now = settle(now.join(F.broadcast(m), "v", "left").select("v", F.coalesce("to", "blk").alias("blk")))
+        fresh = settle(now.join(F.broadcast(m), "v", "left").select("v", F.coalesce("to", "blk").alias("blk")))
+        forget(now)
+        now = fresh
     return now
 
 

@@ -211,10 +211,11 @@ def mapping_metrics(block_edges, pe_edges, mapping: Sequence[int], k: int) -> di
             t = p
     busy = [x / width[link] for link, x in load.items()]
     links = len(pe) / 2
-    return {
+    found = {
         "maxDilation": max(dilations, default=0.0), "avgDilation": sum(dilations) / 2 / links if links else 0.0,
         "maxCongestion": max(busy, default=0.0), "qapCost": cost / 2, "blockEdges": edges / 2,
     }
+    return {n: float(x) for n, x in found.items()}
 
 
 def identity_mapping_metrics(block_edges, pe_edges, k: int) -> dict[str, float]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import hilbert, scalars
 from gridloom.operators import diffusion, graph, kmeans, metrics, multilevel, multisection, pixel, ranks, sfc, spatial, topology
+from gridloom.plans import catalogue_more
 from gridloom.plans.fixtures import embedding_points, order_points, order_points_3d, part_points, supply_blocks, supply_graph, supply_partition, supply_points
 from gridloom.plans.run import heatmap, partition_graph
 from gridloom.settings import Settings
@@ -166,6 +167,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # All ids divisible by 20, and all edges, where the query of the plain name and its SQL take some.
         "radius_query_20": lambda s, d: spatial.within_radius(part_points(s, d), part_points(s, d).filter("v % 20 = 0").withColumnRenamed("v", "q"), ["x", "y"], 3.0).select("q", "v", F.round("dist", 6).alias("dist")),
         "edge_symmetry_all": lambda s, d: graph.asymmetric(supply_graph(s, d)).groupBy((F.col("src") % 4).alias("m")).agg(F.count("*").alias("n")),
+        **catalogue_more.queries(),
     }
 
 
@@ -296,4 +298,5 @@ UNION ALL SELECT 'maxBlockGraphDegree', CAST(max(d) AS DOUBLE) FROM bg UNION ALL
         "box_distances": f"{_P} SELECT v, round(sqrt(power(greatest(10 - x, 0, x - 20), 2) + power(greatest(920 - y, 0, y - 940), 2)), 6) AS near, round(sqrt(power(greatest(abs(x - 10), abs(x - 20)), 2) + power(greatest(abs(y - 920), abs(y - 940)), 2)), 6) AS far FROM q",
         "grid_positions": "SELECT v, v // 60 AS i, v // 10 % 6 AS j, v % 10 AS k, abs(v // 16 % 16 - 1) + abs(v % 16 - 1) AS l1 FROM range(240) t(v)",
         "random_points": "SELECT CAST(1000 AS BIGINT) AS n, true AS inside",
+        **catalogue_more.oracle_sql(),
     }

@@ -13,6 +13,8 @@ from gridloom.operators.graph import symmetrised
 from gridloom.session import settle
 
 AXES = ("x", "y", "z")
+#: Rows that a table of blocks or processors may have, as the driver holds it.
+LINES_MOST = 1_000_000
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -278,8 +280,10 @@ def read_partition(spark: SparkSession, path: str, n: int | None = None) -> Data
 
 
 def _small(spark: SparkSession, path: str, comment: str = "%#") -> list[str]:
-    """Lines of a table with a row for each block or processor."""
-    rows = lines(spark, path).filter((F.trim("value") != "") & ~F.col("value").rlike(rf"^\s*[{comment}]")).orderBy("line").limit(10_000_000).collect()
+    """Lines of a table with a row for each block or processor; more than LINES_MOST raise."""
+    rows = lines(spark, path).filter((F.trim("value") != "") & ~F.col("value").rlike(rf"^\s*[{comment}]")).orderBy("line").limit(LINES_MOST + 1).collect()
+    if len(rows) > LINES_MOST:
+        raise ValueError(f"more than {LINES_MOST} blocks or processors")
     return [r["value"].strip() for r in rows]
 
 
