@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jdir.get() if jdir.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="gridloom-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -29,10 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """df written once as a Parquet table in the shared folder and read again: lineage ends here and a lost executor
-    costs no recomputation."""
+    costs no recomputation. dropped() removes it; what is left goes with the session."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridloom-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
     out._gridloom_path = path
     return out

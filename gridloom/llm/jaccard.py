@@ -16,7 +16,8 @@ the true links leaves a block. Exact copies are one class and are compared once.
 
 Cases: null, empty or wordless text is an empty set, linked with nothing; fewer than k words are one shingle; rows
 that repeat a doc_id are separate rows of the same id; a null doc_id keeps its row and has its own text's class; an
-empty table gives an empty result; other columns are ignored. Shingles are 64-bit hashes.
+empty table gives an empty result; a very long text is one set; other columns are ignored. Shingles are 64-bit hashes,
+equal sets are told by 128 bits and their size.
 """
 
 from __future__ import annotations
@@ -38,8 +39,9 @@ from gridloom.llm._spark import dropped, only, runs, stored
 FREQUENT_MOST = 1 << 22
 #: Candidate pairs that a task gathers before it thins them to a forest.
 GATHER = 1 << 16
-#: Ids of family members broadcast to prune texts before a shuffle; beyond that number the join shuffles.
-MEMBERS_MOST = 1 << 19
+#: Bytes of family members and their blocks that are broadcast to prune texts before a shuffle; beyond them the join
+#: shuffles.
+MEMBERS_BYTES = 1 << 25
 LIGHT_MOST = 24
 BLOCK_ROWS = 512
 BLOCK_SHINGLES = 1 << 19
@@ -99,19 +101,20 @@ def _texts(batches):
 
 
 def _survey(k: int, num: int, den: int):
-    """Of each document: size and hash of its set, and the lowest shingles by hash, among which the frequent ones are sought."""
+    """Of each document: size and two hashes of its set, 128 bits in all, and the lowest shingles by hash, among which the frequent ones are sought."""
 
     def run(batches):
         for batch, words in _texts(batches):
-            size, whole, low = [], [], []
+            size, whole, other, low = [], [], [], []
             for s in T.shingle_sets(words, k):
                 n = len(s)
                 size.append(n)
                 whole.append(int(T.signed(T.mix(np.bitwise_xor.reduce(T.mix(s), keepdims=True) + np.add.reduce(s, keepdims=True) * T.U64(3)))[0]) if n else None)
+                other.append(int(T.signed(T.mix(np.add.reduce(T.mix(s ^ T.U64(0x5851F42D4C957F2D)), keepdims=True)))[0]) if n else None)
                 low.append(T.signed(s[: prefix_length(n, num, den) * 13 // 10 + 4]))
             lengths = np.concatenate([[0], np.cumsum([len(x) for x in low])]).astype(np.int32)
             flat = pa.array(np.concatenate(low) if low else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(whole, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths), flat)], names=["doc_id", "n", "h", "low"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(whole, pa.int64()), pa.array(other, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths), flat)], names=["doc_id", "n", "h", "i", "low"])
 
     return run
 
@@ -262,7 +265,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     """doc_id, n_shingles, component_id for each row of docs (see the module's text)."""
     spark = docs.sparkSession
     base = only(docs, doc_id=f"{key}:bigint", text=f"{text}:string")
-    survey = stored(base.mapInArrow(_survey(k, num, den), "doc_id long, n long, h long, low array<long>"), "shingles")
+    survey = stored(base.mapInArrow(_survey(k, num, den), "doc_id long, n long, h long, i long, low array<long>"), "shingles")
     often = stored(survey.select(F.explode("low").alias("key")).groupBy("key").count().filter(F.col("count") >= frequent_from), "frequent")
     steps = [1 << i for i in range(frequent_from.bit_length() - 1, 42)]
     row = often.agg(F.count("*"), F.avg("count"), *[F.count(F.when(F.col("count") >= s, 1)) for s in steps]).first()
@@ -270,7 +273,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     values = often.filter(F.col("count") >= threshold).select("key").toArrow().column(0).combine_chunks()
     frequent = spark.sparkContext.broadcast(np.unique((np.asarray(values).astype(np.int64).view(T.U64) >> T.U64(32)).astype(np.uint32)))
     dropped(often)
-    classes = stored(survey.filter("n > 0").groupBy("h", "n").agg(F.min("doc_id").alias("class")).filter("class is not null"), "classes")
+    classes = stored(survey.filter("n > 0").groupBy("h", "i", "n").agg(F.min("doc_id").alias("class")).filter("class is not null"), "classes")
     sizes = {r[0]: r[1] for r in classes.filter(F.col("n") <= LIGHT_MOST).groupBy("n").count().collect()}
     boundary = choose_boundary(sizes, float(row[1] or 1.0), num, den)
 
@@ -280,12 +283,13 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     sized = classes.select(F.col("class").alias("doc_id"), "n")
     members = sized.join(family.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "doc_id")
     blocks = stored(_blocks(members, num, den), "blocks")
-    rows = F.broadcast(blocks) if blocks.count() <= MEMBERS_MOST else blocks
+    size = blocks.agg(F.sum(F.length(F.array_join("blocks", "")) + 8 * F.size("blocks") + 32)).first()[0]
+    rows = F.broadcast(blocks) if (size or 0) <= MEMBERS_BYTES else blocks
     sets = base.join(rows, "doc_id").select("doc_id", "text", "blocks").mapInArrow(_tokens(k), "block string, doc_id long, s binary")
     links = sets.repartition("block").sortWithinPartitions("block").mapInArrow(_compare(num, den), "a long, b long")
     joined = components(links)
-    by_class = classes.join(joined.withColumnRenamed("node", "class"), "class", "left").select("h", "n", F.coalesce("component", "class").alias("component"))
-    return survey.select("doc_id", "n", "h").join(by_class, ["h", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    by_class = classes.join(joined.withColumnRenamed("node", "class"), "class", "left").select("h", "i", "n", F.coalesce("component", "class").alias("component"))
+    return survey.select("doc_id", "n", "h", "i").join(by_class, ["h", "i", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:

@@ -2,12 +2,12 @@
 
 A document has its words plus one separator; one longer than the largest size is cut into pieces. Only the histogram of
 piece lengths, at most as long as the largest size, reaches the driver. There every length, longest first, goes to the
-open bin that it fits tightest; where none fits, the size of least expected cost a token is opened, its filling looked
-ahead in what the histogram still holds; bins of like contents are one pattern with a multiplicity, so the work doesn't
-grow with the corpus. Last, each bin shrinks to the smallest size that holds its contents. Pieces find their bins by
+open bin that it fits tightest, of equally tight ones the one filled last; where none fits, the size of least expected
+cost a token is opened, its filling looked ahead in what the histogram still holds; bins of like contents are one
+pattern with a multiplicity, so the work doesn't grow with the corpus. Last, each bin shrinks to the smallest size that holds its contents. Pieces find their bins by
 their rank among the pieces of their length, which is counted in salted buckets.
 
-Cases: null or wordless text is a piece of length 1 (the separator); rows that repeat are packed each for itself; a null
+Cases: a very long text is cut into pieces of the largest size; null or wordless text is a piece of length 1 (the separator); rows that repeat are packed each for itself; a null
 doc_id is kept; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -139,7 +139,7 @@ def pack(docs: DataFrame, sizes=SIZES, overhead: int = 32, key: str = "doc_id",
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
     held = docs.sparkSession.sparkContext.broadcast(slots(plan(histogram, sizes, overhead)))
     buckets = max(1, -(-sum(histogram.values()) // BUCKET_ROWS))
-    salted = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    salted = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start", "length"), F.lit(buckets)).cast("int"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = salted.groupBy("length", "bucket").count().select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece"))

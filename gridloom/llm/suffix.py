@@ -20,7 +20,7 @@ it as later, so removing later spans loses no passage.
 Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, hashed to 64 bits.
 
 Cases: null, empty or shorter texts have no windows; rows that repeat a doc_id are one document to each other; a null
-doc_id takes no part; an empty table gives an empty result; other columns are ignored.
+doc_id takes no part; a very long text is one piece; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,6 +41,9 @@ HELD_ROWS = 400_000
 SPOTS_MOST = 1 << 25
 FILTER_BITS = 1 << 28
 
+#: Suffixes at most that are told to every task, as each has more than one in so many of all ranges.
+HOT_MOST = 4096
+
 _RANGE = "doc_id long, a int, b int, ca int, cb int"
 _FOUND = f"key long, {_RANGE}, pos int, wide long, matched boolean, later boolean"
 
@@ -280,8 +283,14 @@ def repeated_passages(docs: DataFrame, least: int = 50, k: int = 4, reach: int =
     places = two.groupBy("wide", "key", "doc_id").agg(F.max("matched").alias("m"), F.collect_set("pos").alias("at"))
     left = places.filter("not m").select("doc_id", F.explode("at").alias("pos"))
     ranges = places.groupBy("wide", "key").agg(F.max("m").alias("m"), F.min(F.struct("doc_id", "at")).alias("least"), F.max(F.struct("doc_id", F.array_min("at").alias("pos"))).alias("most"))
+    ranges = stored(ranges, "settled")
     several = ranges.groupBy("wide").agg(F.count("*").alias("n")).filter("n > 1")
-    beside = ranges.filter("m").join(several, "wide", "left_semi")
+    # A suffix with a large share of all ranges, of which there are few, is told to every task instead of sending its
+    # ranges to one.
+    large = max(1000, ranges.count() // HOT_MOST)
+    hot = F.broadcast(several.filter(F.col("n") > large).select("wide"))
+    settled = ranges.filter("m")
+    beside = settled.join(hot, "wide", "left_semi").unionByName(settled.join(hot, "wide", "left_anti").join(several.filter(F.col("n") <= large), "wide", "left_semi"))
     beside = beside.select("least.doc_id", F.explode("least.at").alias("pos")).unionByName(beside.select("most.doc_id", "most.pos"))
     spots = stored(left.unionByName(beside).distinct(), "spots")
     if spots.count() <= SPOTS_MOST:

@@ -89,6 +89,13 @@ def test_jaccard_large_family_in_blocks(spark, monkeypatch):
     assert got == classes_by_force(texts, 4, 85, 100)
 
 
+def test_jaccard_bounds_change_nothing(spark, corpus, monkeypatch):
+    want = classes_by_force(corpus, 5, 80, 100)
+    for name, bound in (("MEMBERS_BYTES", 0), ("FREQUENT_MOST", 3)):
+        monkeypatch.setattr(jaccard, name, bound)
+        assert {r[0]: (r[1], r[2]) for r in jaccard.jaccard_classes(frame(spark, corpus)).collect()} == want
+
+
 def test_jaccard_boundary_costs():
     assert jaccard.subset_work(6, 85, 100) == 2 and jaccard.subset_work(3, 85, 100) == 1
     assert jaccard.choose_boundary({n: 100 for n in range(1, 25)}, 50.0, 85, 100) >= 5
@@ -136,6 +143,8 @@ def test_repeated_passages_of_small_chunks(spark, corpus, monkeypatch):
     whole = {tuple(map(str, r)) for r in suffix.repeated_passages(frame(spark, corpus)).select("doc_id", "n_repeated", "spans").collect()}
     split = {tuple(map(str, r)) for r in suffix.repeated_passages(frame(spark, corpus).repartition(7)).select("doc_id", "n_repeated", "spans").collect()}
     assert whole == split
+    monkeypatch.setattr(suffix, "HELD_ROWS", 50)
+    assert whole == {tuple(map(str, r)) for r in suffix.repeated_passages(frame(spark, corpus)).select("doc_id", "n_repeated", "spans").collect()}
     monkeypatch.setattr(suffix, "SPOTS_MOST", 0)
     assert whole == {tuple(map(str, r)) for r in suffix.repeated_passages(frame(spark, corpus)).select("doc_id", "n_repeated", "spans").collect()}
     assert suffix.repeated_passages(frame(spark, []).limit(0)).count() == 0
@@ -176,7 +185,7 @@ def test_repeated_passages_of_settled_ranges(spark):
     texts = [*twice, *copies]
     want = passages_by_force(texts)
     for slices in (1, 7):
-        got = {d["doc_id"]: d for d in suffix.repeated_passages(frame(spark, texts).repartition(slices)).collect()}
+        got = {d["doc_id"]: d for d in suffix.repeated_passages(frame(spark, [*texts, (None, texts[0][1])]).repartition(slices)).collect()}
         assert set(got) == set(want)
         for i, t in texts:
             assert (marked(t, got[i]["spans"]), marked(t, got[i]["later_spans"])) == want[i], (i, slices)
@@ -342,6 +351,50 @@ def test_packing_places_every_word_once(spark, corpus):
     assert packing.pack(frame(spark, []).limit(0)).count() == 0
 
 
+def packed_by_force(lengths, sizes, overhead):
+    """Sorted bins (size, sorted contents), by placing one item after the other into plain lists: the tightest open bin, of
+    several the one that was filled last, or
+    where none fits a batch of new ones of the size of least cost a token, filled ahead by the longest items left."""
+    left = sorted(lengths, reverse=True)
+    bins = []
+
+    def ahead(size, first, rest):
+        used = first
+        for x in rest:
+            if used + x <= size:
+                used += x
+        return used
+
+    while left:
+        x = left[0]
+        open_bins = [b for b in bins if b[0] >= x]
+        if not open_bins:
+            size = min((s for s in sizes if s >= x), key=lambda s: ((s + overhead) / ahead(s, x, left[1:]), s))
+            n, each = left.count(x), size // x
+            many = -(-n // each) if n < 4 * each else max(1, n // each // 4)
+            bins += [[size, [], 0] for _ in range(many)]
+            continue
+        b = min(open_bins, key=lambda b: (b[0], -b[2]))
+        b[0] -= x
+        b[1].append(x)
+        b[2] = len(lengths) - len(left) + 1
+        left.pop(0)
+    return sorted((next(s for s in sorted(sizes) if s >= sum(items)), sorted(items)) for _, items, _ in bins if items)
+
+
+def test_packing_plan_is_that_of_single_items():
+    rnd = random.Random(4)
+    for sizes, most in (((8, 16, 32), 32), ((512, 1024, 2048, 4096), 4096), ((10,), 10)):
+        for _ in range(25):
+            lengths = [rnd.choice([rnd.randint(1, most), rnd.randint(1, max(2, most // 8)), most // 3 + 1]) for _ in range(rnd.randint(0, 60))]
+            counts = defaultdict(int)
+            for x in lengths:
+                counts[x] += 1
+            plan = packing.plan(dict(counts), sizes, 2)
+            got = sorted((size, sorted(length for length, n in items for _ in range(n))) for size, many, items in plan for _ in range(many))
+            assert got == packed_by_force(lengths, sizes, 2)
+
+
 def test_packing_plan_fills_well():
     rnd = random.Random(1)
     counts = defaultdict(int)
@@ -415,6 +468,51 @@ def test_quality_learns_from_its_whole_sample():
         assert inspect.signature(f).parameters["sample"].default == 4000
 
 
+def test_quality_posteriors_and_scores_by_force(spark):
+    import math
+
+    import numpy as np
+
+    rnd = random.Random(3)
+    texts = [(i, " ".join(rnd.choice(["the", "of", prose(rnd, 1), prose(rnd, 1) + "."]) for _ in range(rnd.randint(1, 60))) if i % 6 else " | ".join(prose(rnd, 30).upper().split())) for i in range(120)]
+    texts += [(200, "the word " * 30_000), (201, texts[1][1])]
+    # Expectation-maximisation, a text at a time, in plain loops.
+    rows = [quality.votes(quality.statistics(quality.T.Words(*quality.T.utf8(quality.pa.array([t])), quality.T.BLANK_WORD)))[0].tolist() for _, t in texts]
+    prior, table = 0.8, {1: [[0.1, 0.9]] * 8, 0: [[0.6, 0.4]] * 8}
+    good = [0.0] * len(rows)
+    for _ in range(100):
+        new = []
+        for v in rows:
+            p = {c: math.prod([q, *(table[c][j][x] for j, x in enumerate(v) if x >= 0)]) for c, q in ((0, 1 - prior), (1, prior))}
+            new.append(p[1] / (p[0] + p[1]))
+        done = max(abs(a - b) for a, b in zip(new, good, strict=True)) < 1e-9
+        good = new
+        for c, start in ((0, (4.0, 1.0)), (1, (0.5, 4.0))):
+            table[c] = []
+            for j in range(8):
+                n = list(start)
+                for v, g in zip(rows, good, strict=True):
+                    if v[j] >= 0:
+                        n[v[j]] += g if c else 1 - g
+                table[c].append([x / sum(n) for x in n])
+        prior = min(0.98, max(0.02, (sum(good) + 2) / (len(rows) + 4)))
+        if done:
+            break
+    codes, n = np.unique(quality.pattern(np.array(rows)), return_counts=True)
+    got, own, share = quality.posteriors(codes, n.astype(float))
+    assert share == pytest.approx(prior, abs=1e-6)
+    assert got[np.searchsorted(codes, quality.pattern(np.array(rows)))] == pytest.approx(np.array(good), abs=1e-6)
+    assert own[1] == pytest.approx(np.array(table[1]), abs=1e-6)
+    # The scores are the logistic function of the trained weights and a whole text's features; sums of 32-bit numbers in
+    # training differ a little from run to run.
+    docs = frame(spark, texts)
+    w = quality.train(docs)
+    for r in quality.op7(docs).collect():
+        t = dict(texts)[r["doc_id"]]
+        x = next(quality._vectors(*quality.T.utf8(quality.pa.array([t]))))
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-float(x @ w))), abs=1e-3) and r["accepted"] == (r["score"] >= 0.5)
+
+
 def test_quality_em_learns_accuracies():
     import numpy as np
 
