@@ -1,7 +1,13 @@
 """A training-corpus pipeline: quality, near copies, benchmark passages, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet in the shared folder and
-reads again as the next stage's docs. All but the last return the columns of documents."""
+reads again as the next stage's docs. All but the last return the columns of documents.
+
+Cases: null and empty texts are rejected by the first stage; rows that repeat a doc_id stay or go together, as one
+document; rows with a null doc_id are judged by their text alone, take no part in the join and stay; of equal copies the
+one of the smallest doc_id stays; very long texts are read whole and cut into pieces by the last stage only; an empty
+table, at the start or after any stage, gives an empty result; further columns, whatever their names, are carried
+through all stages but the last."""
 
 from __future__ import annotations
 
