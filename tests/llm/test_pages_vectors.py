@@ -379,3 +379,27 @@ def test_pipeline_by_force(spark, tmp_path):
     assert have == want
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert len(names) == 5 and decontaminate and packing and json.dumps(names)
+
+
+def test_pipeline_cases(spark, tmp_path):
+    import corpus_pipeline
+    from tests.llm.test_documents import prose
+
+    rnd = random.Random(9)
+    the = lambda n: " ".join(rnd.choice(["the", "of", prose(rnd, 1), prose(rnd, 1), prose(rnd, 1) + "."]) for _ in range(n))
+    one, two, three = the(60), the(60), the(9000)
+    rows = [(1, one), (1, one), (2, one), (3, two + " a@b.cd"), (4, None), (5, ""), (None, the(50)), (6, three)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, piece string, items int, component_id string, score double, `__x` long"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "p", 3, "c", 0.5, 7) for i, t in rows], schema)
+    spark.createDataFrame([(0, the(20))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == docs.columns and [f.dataType for f in now.schema] == [f.dataType for f in docs.schema]
+    kept = now.collect()
+    assert sorted((r["doc_id"] or 0) for r in kept) == [0, 1, 1, 3, 6]
+    assert {r["doc_id"]: r["text"] for r in kept}[3] == two + " [EMAIL]" and all(r["n_chars"] == len(r["text"]) and r["__x"] == 7 for r in kept)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).collect()
+    assert sum(r["length"] for r in pieces if r["doc_id"] == 6) == 9001
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
