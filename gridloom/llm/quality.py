@@ -20,6 +20,8 @@ from gridloom.llm import _text as T
 from gridloom.llm._spark import only, stored
 
 WIDTH = 1 << 12
+#: Features beside the hashed n-grams.
+EXTRA = 9
 LABELLERS = ("symbols", "capitals", "adjacent", "trigrams", "wordless", "length", "ends", "stops")
 
 # Frequent function words of four languages.
@@ -162,11 +164,28 @@ def _vote(batches):
 
 
 def _sampled(batches):
+    """Feature vectors as bytes of their non-zero places (16 bits) and values (float32), so that the sample travels small."""
     for batch in batches:
         data, bounds = T.utf8(batch.column(1))
         for lo, hi in T.pieces(bounds):
-            rows = [v.astype(np.float32).tobytes() for v in _vectors(data, bounds[lo : hi + 1])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(rows, pa.binary())], names=["doc_id", "pattern", "x"])
+            at, x = [], []
+            for v in _vectors(data, bounds[lo : hi + 1]):
+                i = np.flatnonzero(v)
+                at.append(i.astype(np.uint16).tobytes())
+                x.append(v[i].astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(at, pa.binary()), pa.array(x, pa.binary())], names=["doc_id", "pattern", "at", "x"])
+
+
+def _matrix(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The sample's vectors as one float32 matrix in the order of (doc_id, pattern), and their patterns."""
+    codes = np.asarray(rows.column("pattern"))
+    order = np.lexsort((codes, np.asarray(rows.column("doc_id"))))
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    x = np.zeros((len(order), WIDTH + EXTRA), dtype=np.float32)
+    for i, at, v in zip(place, rows.column("at"), rows.column("x"), strict=True):
+        x[i, np.frombuffer(at.as_buffer(), dtype=np.uint16)] = np.frombuffer(v.as_buffer(), dtype=np.float32)
+    return x, codes[order]
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.3, l2: float = 1e-4) -> np.ndarray:
@@ -215,13 +234,15 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int
     codes = codes[order]
     good, _, _ = posteriors(codes, n[order].astype(float))
     chosen = voted.filter("doc_id is not null").orderBy(F.xxhash64("doc_id", "pattern"), "doc_id").limit(sample).distinct()
-    rows = base.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "pattern").mapInArrow(_sampled, "doc_id long, pattern long, x binary").toArrow()
+    rows = base.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "pattern").mapInArrow(_sampled, "doc_id long, pattern long, at binary, x binary").toArrow()
     if not rows.num_rows:
         return None
-    rows = rows.sort_by([("doc_id", "ascending"), ("pattern", "ascending")])
-    x = np.stack([np.frombuffer(b.as_py(), dtype=np.float32) for b in rows.column("x")])
-    y = good[np.searchsorted(codes, np.asarray(rows.column("pattern")))]
-    return fit_linear(x, y)
+    x, said = _matrix(rows)
+    del rows
+    w = fit_linear(x, good[np.searchsorted(codes, said)])
+    del x
+    T.release()
+    return w
 
 
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = 4000, threshold: float = 0.5) -> DataFrame:
