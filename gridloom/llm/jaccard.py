@@ -11,8 +11,8 @@ exact). Every linked pair shares a key of the index:
 
 ``boundary`` minimises the expected work: subsets of the light sizes, plus list rows times the mean list length of the
 heavy ones. The lists are scanned in sorted order and give a chain of candidates, never all pairs. Chains make
-candidate families; each family's sets are compared exactly, in blocks of bounded size, and only a spanning forest of
-the true links leaves a block. Exact copies are one class and are compared once.
+candidate families; each family's sets are compared exactly, in blocks of bounded size, where the triangle inequality
+spares chunks that can't link, and only a spanning forest of the true links leaves a block. Exact copies are one class and are compared once.
 
 Cases: null, empty or wordless text is an empty set, linked with nothing; fewer than k words are one shingle; rows
 that repeat a doc_id are separate rows of the same id; a null doc_id keeps its row and has its own text's class; an
@@ -43,8 +43,12 @@ GATHER = 1 << 16
 #: shuffles.
 MEMBERS_BYTES = 1 << 25
 LIGHT_MOST = 24
-BLOCK_ROWS = 512
-BLOCK_SHINGLES = 1 << 19
+#: A block of sets that one task compares: 16 MB of shingles. A family of more blocks is sent out once for each block it
+#: has, so small blocks would fill the disk with copies of its sets.
+BLOCK_ROWS = 1 << 14
+BLOCK_SHINGLES = 1 << 21
+#: Sets of a block that are multiplied at a time.
+CHUNK_ROWS = 512
 
 
 def least_overlap(size: int, num: int, den: int) -> int:
@@ -195,31 +199,114 @@ def _tokens(k: int):
     return run
 
 
+class _Sets:
+    """Sets as rows of shared shingles: those of one set alone can't be common to two and only count in its size."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(s) for s in sets], dtype=np.int64)
+        flat = np.concatenate(sets) if sets else np.zeros(0, T.U64)
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        new = np.concatenate([[True], flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, bool)
+        count = np.diff(np.concatenate([np.flatnonzero(new), [len(flat)]]))
+        shared = np.repeat(count > 1, count)
+        column = np.empty(len(flat), dtype=np.int32)
+        column[order] = np.where(shared, np.repeat(np.cumsum(count > 1) - 1, count), -1)
+        often = count[count > 1]
+        owner = np.repeat(np.arange(len(sets)), self.size)[column >= 0]
+        self.column = column[column >= 0]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sets)))])
+        self.owner, self.often = owner, often
+
+    def rows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Columns of the sets and the place in ``which`` that each belongs to, by column."""
+        n = self.start[which + 1] - self.start[which]
+        at = np.repeat(np.arange(len(which)), n)
+        column = self.column[np.repeat(self.start[which] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+        order = np.argsort(column, kind="stable")
+        return column[order], at[order]
+
+    def with_one(self, i: int) -> np.ndarray:
+        """Shingles that each set shares with set i."""
+        mark = np.zeros(len(self.often), dtype=bool)
+        mark[self.column[self.start[i] : self.start[i + 1]]] = True
+        out = np.bincount(self.owner, weights=mark[self.column], minlength=len(self.size)).astype(np.int64)
+        out[i] = self.size[i]
+        return out
+
+
+def _links(both, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets of sizes a and b with ``both`` common shingles link."""
+    return both * (den + num) >= num * (a + b)
+
+
+def _common(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], m: int, n: int, step: int = 8192) -> np.ndarray:
+    """Shingles that each of m sets shares with each of n, by products of 0/1 matrices over the columns that both sides
+    have, ``step`` at a time."""
+    here = np.intersect1d(x[0], y[0])
+    out = np.zeros((m, n), dtype=np.float64)
+    for lo in range(0, len(here), step):
+        part, dense = here[lo : lo + step], []
+        for (column, at), rows in ((x, m), (y, n)):
+            i, j = np.searchsorted(column, [part[0], part[-1] + 1])
+            place = np.searchsorted(part, column[i:j])
+            kept = part[place] == column[i:j]
+            d = np.zeros((rows, len(part)), dtype=np.float32)
+            d[at[i:j][kept], place[kept]] = 1
+            dense.append(d)
+        out += dense[0] @ dense[1].T
+    return np.rint(out).astype(np.int64)
+
+
 def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """Boolean matrix of the pairs that link; work is bounded by the block, 8192 shared shingles at a time."""
+    """Boolean matrix of the pairs that link."""
+    rows = _Sets(sets)
+    x = rows.rows(np.arange(len(sets)))
+    both = _common(x, x, len(sets), len(sets))
+    np.fill_diagonal(both, rows.size)
+    return _links(both, rows.size[:, None], rows.size[None, :], num, den)
+
+
+def link_forest(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, smallest row reachable by links) for each row that isn't that row itself.
+
+    Distance 1 - intersection / union is a metric. Rows are sorted by their distance from one central set and cut into
+    chunks; two chunks need no comparison if their distances from it, or their sizes, are too far apart for any link, or
+    if their rows are one component already. In a family of near copies, most lie within a link of the centre."""
     m = len(sets)
-    size = np.array([len(s) for s in sets], dtype=np.int64)
-    flat = np.concatenate(sets) if m else np.zeros(0, T.U64)
-    owner = np.repeat(np.arange(m), size)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    new = np.concatenate([[True], flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, bool)
-    group = np.cumsum(new) - 1
-    count = np.bincount(group) if len(group) else np.zeros(0, int)
-    common = count[group] > 1 if len(group) else np.zeros(0, bool)
-    column = (np.cumsum(count > 1) - 1)[group[common]] if common.any() else np.zeros(0, int)
-    owner = owner[common]
-    both = np.zeros((m, m), dtype=np.float64)
-    step = 8192
-    edges = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else -1) + step + 1, step))
-    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-        if hi > lo:
-            width = int(column[hi - 1] % step) + 1
-            dense = np.zeros((m, width), dtype=np.float32)
-            dense[owner[lo:hi], column[lo:hi] % step] = 1
-            both += dense @ dense.T
-    both = np.rint(both).astype(np.int64)
-    return both * (den + num) >= num * (size[:, None] + size[None, :])
+    if m <= CHUNK_ROWS:
+        i, j = np.nonzero(np.triu(linked(sets, num, den), 1))
+        return forest(i, j) if len(i) else (i, j)
+    rows = _Sets(sets)
+    size = rows.size
+    centre = int(np.argmax(np.bincount(rows.owner, weights=rows.often[rows.column], minlength=m) / np.maximum(size, 1)))
+    both = rows.with_one(centre)
+    far = 1 - both / np.maximum(size + size[centre] - both, 1)
+    label = np.arange(m)
+    near = np.flatnonzero(_links(both, size, size[centre], num, den))
+    label[near] = near.min()
+    order = np.lexsort((size, far))
+    chunks = [order[lo : lo + CHUNK_ROWS] for lo in range(0, m, CHUNK_ROWS)]
+    reach = 1 - num / den + 1e-9
+    for p, a in enumerate(chunks):
+        x, found = None, [np.stack([np.arange(m), label])]
+        for b in chunks[p:]:
+            if far[b[0]] - far[a[-1]] > reach:
+                break
+            apart = size[a].max() * den < num * size[b].min() or size[b].max() * den < num * size[a].min()
+            if apart or (label[a] == label[a[0]]).all() and (label[b] == label[a[0]]).all():
+                continue
+            x = x or rows.rows(a)
+            yes = _links(_common(x, x if b is a else rows.rows(b), len(a), len(b)), size[a][:, None], size[b][None, :], num, den)
+            yes &= label[a][:, None] != label[b][None, :]
+            i, j = np.nonzero(yes)
+            found.append(np.stack([a[i], b[j]]))
+        if len(found) > 1:
+            low = forest(*np.concatenate(found, axis=1))
+            label = np.arange(m)
+            label[low[0]] = low[1]
+    moved = np.flatnonzero(label != np.arange(m))
+    return moved, label[moved]
 
 
 def _compare(num: int, den: int):
@@ -228,11 +315,9 @@ def _compare(num: int, den: int):
             ids = np.asarray(rows.column("doc_id").combine_chunks())
             if len(ids) < 2:
                 continue
-            sets = [np.frombuffer(x.as_py(), dtype=T.U64) for x in rows.column("s")]
-            i, j = np.nonzero(np.triu(linked(sets, num, den), 1))
+            i, j = link_forest([np.frombuffer(x.as_py(), dtype=T.U64) for x in rows.column("s")], num, den)
             if len(i):
-                a, b = forest(ids[i], ids[j])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], names=["a", "b"])
 
     return run
 

@@ -8,6 +8,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +90,35 @@ def test_jaccard_large_family_in_blocks(spark, monkeypatch):
     assert got == classes_by_force(texts, 4, 85, 100)
 
 
+def test_jaccard_large_families_are_sent_out_a_few_times(spark):
+    members = spark.range(20_000).selectExpr("id AS doc_id", "cast(380 + id % 20 AS bigint) AS n", "0L AS family")
+    assert jaccard._blocks(members, 85, 100).selectExpr("sum(size(blocks))").first()[0] <= 10 * 20_000
+
+
+@pytest.mark.parametrize(("num", "den", "chunk"), [(85, 100, 16), (80, 100, 64), (50, 100, 16)])
+def test_jaccard_links_of_a_block(monkeypatch, num, den, chunk):
+    rnd = np.random.default_rng(5)
+    sets = []
+    for _ in range(4):
+        base = rnd.integers(0, 1 << 62, 60).astype(np.uint64)
+        for i in range(60):
+            own = np.where(rnd.random(60) < rnd.choice([0.02, 0.1, 0.3]), rnd.integers(0, 1 << 62, 60).astype(np.uint64), base)
+            sets.append(np.unique(own[: 60 - i % 25]))
+    rnd.shuffle(sets)
+    label = np.arange(len(sets))
+    for a, x in enumerate(sets):
+        for b in range(a):
+            both = len(np.intersect1d(x, sets[b]))
+            if both * den >= num * (len(x) + len(sets[b]) - both):
+                label[label == label[a]] = label[b]
+    want = [int(np.flatnonzero(label == x).min()) for x in label]
+    monkeypatch.setattr(jaccard, "CHUNK_ROWS", chunk)
+    got = list(range(len(sets)))
+    for i, j in zip(*jaccard.link_forest(sets, num, den), strict=True):
+        got[i] = int(j)
+    assert got == want
+
+
 def test_jaccard_bounds_change_nothing(spark, corpus, monkeypatch):
     want = classes_by_force(corpus, 5, 80, 100)
     for name, bound in (("MEMBERS_BYTES", 0), ("FREQUENT_MOST", 3)):
