@@ -7,17 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.session import settle
+
 #: Rows that one sorted bucket should hold at most, if the keys allow it.
 BUCKET_ROWS = 500_000
 
 
 def _bucketed(df: DataFrame, key: str, rows: int) -> DataFrame:
     """Adds __b: the range bucket of the key. Bounds are approximate quantiles, the same for every task; a key value that
-    alone exceeds a bucket stays whole, as its rows are ordered by the later keys."""
+    alone exceeds a bucket stays whole, as its rows are ordered by the later keys. Rows of several buckets are settled, as
+    conditions on __b would otherwise be moved below the key's own columns: where those are nested, like the curve's
+    levels, the condition grows by a factor with each level until the driver's memory is full."""
     n = df.count()
     parts = min(4096, max(1, -(-n // rows)))
     if parts == 1:
         return df.withColumn("__b", F.lit(0))
+    df = settle(df)
     cuts = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10_000)).first()[0]
     cuts = sorted(set(cuts))
     return df.withColumn("__b", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(key))))

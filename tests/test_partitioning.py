@@ -162,6 +162,14 @@ def test_ranks_over_many_buckets(spark):
     assert np.allclose([x["prefix"] for x in s], np.cumsum([x["w"] for x in s]))
 
 
+def test_ranks_in_buckets_along_the_curve(spark):
+    p = spark.range(400).selectExpr("id AS v", "cast(id * 37 % 101 AS double) AS x", "cast(id * 53 % 97 AS double) AS y")
+    h = hilbert.with_hilbert(p, ["x", "y"], 9)
+    got = {r["v"]: r["rank"] for r in ranks.with_rank(h, ["h", "v"], rows=60).collect()}
+    want = sorted((r["h"], r["v"]) for r in h.collect())
+    assert got == {v: i for i, (_, v) in enumerate(want)}
+
+
 def test_sfc_partition_is_even_and_renumbers(spark, grid8):
     v, e = grid8
     p = sfc.sfc_partition(v, ["x", "y"], 5, 6)
