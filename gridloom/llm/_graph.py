@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm._spark import dropped, stored
+from gridloom.llm._spark import dropped, stored, swept
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,6 +45,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     The minimum of a node's neighbours is a partial aggregate, so a hub is never gathered in one task; the join that
     hands the minimum out is one that AQE may split. Rounds end when a round changes no edge."""
     now = stored(edges.select("a", "b").filter("a <> b").mapInArrow(_local, "a long, b long"), "cc")
+    swept(edges.sparkSession)
     before = None
     for _ in range(most_rounds):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))

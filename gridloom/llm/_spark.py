@@ -51,6 +51,12 @@ def dropped(df: DataFrame) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Shuffle files that nothing reads any more go now; else they fill the disk until the driver happens to collect its
+    garbage. To be called where a stored() table has replaced a large shuffle."""
+    spark._jvm.System.gc()
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns alone, cast and renamed: name='type' or name='column:type'."""
     picked = []
