@@ -589,3 +589,13 @@ def test_searches_take_every_twentieth_id_and_all_edges(spark, tmp_path):
     assert catalogue.queries()["edge_symmetry_all"](spark, str(tmp_path)).count() == 0
     one_way = spark.createDataFrame([(0, 1), (1, 0), (6, 2), (2, 3)], "src long, dst long")
     assert rows(graph.asymmetric(one_way)) == [(2, 3), (6, 2)]
+
+
+def test_flow_meets_every_demand(spark):
+    v, e = generate.grid(spark, (4, 4))
+    x = diffusion.potentials(v.withColumn("w0", F.lit(1.0)), e, 0)
+    got = graph.laplacian(e).join(x.withColumnRenamed("v", "col"), "col").groupBy("row").agg(F.sum(F.col("value") * F.col("x")).alias("b")).collect()
+    assert len(got) == 16
+    assert max(abs(r["b"] - (15.0 if r["row"] == 0 else -1.0)) for r in got) < 2e-6
+    with pytest.raises(ValueError, match="connected part"):
+        diffusion.flow(spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0), (2, 3, 1.0), (3, 2, 1.0)], "src long, dst long, w double"), spark.createDataFrame([(0, 3.0), (1, -1.0), (2, -1.0), (3, -1.0)], "v long, b double"), most=3)
