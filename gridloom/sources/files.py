@@ -345,6 +345,23 @@ def to_csr(edges: DataFrame, n: int):
     return np.searchsorted(np.asarray(t.column("src")), np.arange(n + 1)), np.asarray(t.column("dst")), np.asarray(t.column("w"))
 
 
+def csr_rows(edges: DataFrame, n: int) -> DataFrame:
+    """(v, start, targets, weights): the compressed rows of the vertices 0 to n - 1 as a table, for graphs of any size."""
+    from gridloom.operators.ranks import with_prefix_sum
+
+    one = F.struct("dst", F.col("w").cast("double").alias("w"))
+    rows = edges.groupBy(F.col("src").alias("v")).agg(F.sort_array(F.collect_list(one)).alias("row"))
+    rows = edges.sparkSession.range(n).withColumnRenamed("id", "v").join(rows, "v", "left")
+    rows = rows.select("v", F.coalesce(F.col("row.dst"), F.array().cast("array<bigint>")).alias("targets"), F.coalesce(F.col("row.w"), F.array().cast("array<double>")).alias("weights"))
+    ends = with_prefix_sum(rows.withColumn("degree", F.size("targets").cast("long")), "degree", ["v"], "end")
+    return ends.select("v", (F.col("end") - F.col("degree")).alias("start"), "targets", "weights")
+
+
+def csr_edges(rows: DataFrame) -> DataFrame:
+    """The edges of csr_rows()."""
+    return rows.select(F.col("v").alias("src"), F.explode(F.arrays_zip("targets", "weights")).alias("e")).select("src", F.col("e.targets").alias("dst"), F.col("e.weights").alias("w"))
+
+
 def file_exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

@@ -599,3 +599,13 @@ def test_flow_meets_every_demand(spark):
     assert max(abs(r["b"] - (15.0 if r["row"] == 0 else -1.0)) for r in got) < 2e-6
     with pytest.raises(ValueError, match="connected part"):
         diffusion.flow(spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0), (2, 3, 1.0), (3, 2, 1.0)], "src long, dst long, w double"), spark.createDataFrame([(0, 3.0), (1, -1.0), (2, -1.0), (3, -1.0)], "v long, b double"), most=3)
+
+
+def test_csr_rows_are_a_table(spark, grid8):
+    _, e = grid8
+    e = e.filter("src <> 9")
+    starts, targets, weights = files.to_csr(e, 64)
+    r = files.csr_rows(e, 64).orderBy("v").collect()
+    assert [x["start"] for x in r] == starts[:-1].tolist()
+    assert [t for x in r for t in x["targets"]] == targets.tolist() and [w for x in r for w in x["weights"]] == weights.tolist()
+    assert sorted(map(tuple, files.csr_edges(files.csr_rows(e, 64)).collect())) == sorted(map(tuple, e.select("src", "dst", F.col("w").cast("double")).collect()))
